@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casegraph.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,19 +45,89 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.sentencepiece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.fingerprint import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.chat import collapse_and_render
+
+    return collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k,
+    '<|im_start|>' || replace(role, '<|im_', '< |im_') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS rendered FROM d),
+p AS (
+  SELECT *, md5(string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY k)) AS h,
+    sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY k) - length(rendered) AS start,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+w AS (SELECT min(conv_id) AS conv_id, n, h, count(*) AS copies FROM p WHERE k = n - 1 GROUP BY n, h),
+m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k + 1 = w.n AND p.h = w.h AND p.k + 1 < p.n))
+SELECT p.conv_id, CAST(p.k AS INTEGER) AS turn_index, p.role, p.rendered, CAST(p.start AS BIGINT) AS start, CAST(p.n AS INTEGER) AS n_turns, m.copies
+FROM p JOIN m ON p.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    told = identify(docs, train(docs, ~out))
+    return told.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegraph.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_topk": op2_exact_topk,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_fingerprints": op4_fingerprints,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_license_scan": op6_license_scan,
+        "op7_chat_formatting": op7_chat_formatting,
+        "op8_language_id": op8_language_id,
         "op9_simhash_golay": op9_simhash_golay,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op7_chat_formatting": OP7_SQL}
