@@ -110,7 +110,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 15, start: Logistic | None = None) -> Logistic:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 20, start: Logistic | None = None) -> Logistic:
     """Ridge logistic regression by Newton's method, from `start` and in its scale if there is one."""
     mean, scale = (start.mean, start.scale) if start else (x.mean(axis=0), x.std(axis=0) + 1e-3)
     z = np.c_[(x - mean) / scale, np.ones(len(x))].astype(np.float64)
@@ -120,8 +120,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int =
     for _ in range(steps):
         p = _sigmoid(z @ w)
         step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
-        w += step
-        if np.abs(step).max() < 0.01:
+        far = np.abs(step).max()
+        w += step * min(1.0, 1.0 / max(far, 1e-9))  # a longer step can overshoot where classes part
+        if far < 0.01:
             break
     return Logistic(mean, scale, w[:-1], float(w[-1]))
 
