@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegraph.llm.common import bounded_batches
 
@@ -171,6 +172,10 @@ def infer(texts: list[str], model: LanguageModel) -> list[tuple[str, float, dict
     return out
 
 
+def told_fields() -> list[T.StructField]:
+    return [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())]
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of `docs` and lang_pred string, score double (the language's proportion), languages string.
 
@@ -181,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # MOST_LANGUAGES x 2^BUCKET_BITS x 4 bytes at most
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    fields = T.StructType([*kept.schema.fields[:-1], *told_fields()])
 
     def run(batches):
         for batch in batches:
@@ -200,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
             columns = [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array(sets, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "languages"])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages string")
+    return kept.mapInArrow(run, fields)
 
 
 def held_out(doc_id: Column) -> Column:

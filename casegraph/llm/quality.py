@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegraph.llm.common import bounded_batches
 
@@ -237,7 +238,7 @@ def score(docs: DataFrame, model: CoTrained | None, keep: tuple[str, ...] = ("do
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # a few thousand numbers
     kept = docs.select(*keep, *(F.col(c).cast("string").alias(f"_{c}") for c in ("text", "source", "lang")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
+    fields = T.StructType([*kept.schema.fields[: len(keep)], T.StructField("quality_score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -251,4 +252,4 @@ def score(docs: DataFrame, model: CoTrained | None, keep: tuple[str, ...] = ("do
             got = np.where([bool(t.strip()) for t in text], got, 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, "quality_score"])
 
-    return kept.mapInArrow(run, f"{fields}, quality_score double")
+    return kept.mapInArrow(run, fields)

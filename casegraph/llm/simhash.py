@@ -8,8 +8,8 @@ For each of the three pairs of segments a fingerprint gives probe rows (keys of
 base rows (index of the first, keys of the second): two fingerprints within one bit in both segments share such a row.
 
 Rows of a key meet in one task, sorted; candidate pairs are verified on all 64 bits there, and only the links that
-join what isn't joined yet leave the task, so a group of n near copies gives n - 1 links, not n * n. Keys with more
-rows than `bucket` are cut into blocks, and each pair of blocks is a group of its own: no group is larger than two
+join what isn't joined yet leave the task, so a group of n near copies gives n - 1 links, not n * n. Keys with many
+rows, told from a sample, are cut into blocks, and each pair of blocks is a group of its own: no group is larger than two
 blocks, no pair is lost. Equal fingerprints are one row from the start.
 """
 
@@ -130,27 +130,28 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def group_links(probe: np.ndarray, base: np.ndarray, distance: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the fingerprints of one group: a spanning forest of the pairs within `distance` bits."""
-    nodes, at = np.unique(np.concatenate([probe, base]), return_inverse=True)
-    p, q = at[: len(probe)], at[len(probe) :]
+def group_links(side: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the nodes of one group: a spanning forest of the pairs within `distance` bits."""
+    names, at = np.unique(nodes, return_inverse=True)
+    probe, base = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     left, right = [], []
-    for k in range(0, len(p), step):
-        i, j = np.nonzero(np.bitwise_count(nodes[p[k : k + step], None] ^ nodes[q][None, :]) <= distance)
-        x, y = p[k : k + step][i], q[j]
+    for k in range(0, len(probe), step):
+        part = probe[k : k + step]
+        i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[base][None, :]) <= distance)
+        x, y = at[part[i]], at[base[j]]
         x, y = x[x != y], y[x != y]
         if len(x):
-            some = _forest(x, y, len(nodes))
+            some = _forest(x, y, len(names))
             left.append(x[some])
             right.append(y[some])
     if not left:
         return nodes[:0], nodes[:0]
     x, y = np.concatenate(left), np.concatenate(right)
-    some = _forest(x, y, len(nodes))
-    return nodes[x[some]], nodes[y[some]]
+    some = _forest(x, y, len(names))
+    return names[x[some]], names[y[some]]
 
 
-def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run of equal `group`; rows are sorted by (group, side)."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
@@ -165,10 +166,10 @@ def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, distan
     within = np.arange(len(left)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     right = np.repeat(np.repeat(starts + probes, probes), per_row) + within
     near = np.bitwise_count(prints[left] ^ prints[right]) <= distance
-    a, b = [prints[left[near]]], [prints[right[near]]]
+    a, b = [nodes[left[near]]], [nodes[right[near]]]
     for k in np.flatnonzero((products > 0) & ~small):
-        middle = starts[k] + probes[k]
-        x, y = group_links(prints[starts[k] : middle], prints[middle : ends[k]], distance)
+        own = slice(starts[k], ends[k])
+        x, y = group_links(side[own], prints[own], nodes[own], distance)
         a.append(x)
         b.append(y)
     a, b = np.concatenate(a), np.concatenate(b)
@@ -178,55 +179,66 @@ def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, distan
     return both[0], both[1]
 
 
+#: One node in so many is looked at to find keys that have to be cut into blocks.
+HOT_SAMPLE = 16
+
+
 def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links that join all distinct fingerprints (column print) that differ in `distance` bits, 3 at most.
+    """a, b: links between nodes of `prints` (node, table, print) with a fingerprint of one table within `distance` bits.
 
-    Not all pairs: links enough that two fingerprints are connected exactly if a chain of such pairs connects them.
+    All pairs within three bits are found, and of those further apart the ones that share a key. Not all pairs are
+    given, but links enough that two nodes are connected exactly if a chain of found pairs connects them. A node has
+    one row for each table; keys with about `bucket` rows or more are cut into blocks.
     """
-    if not 0 <= distance <= 3:
-        raise ValueError("the keys find pairs within three bits")
 
     def keyed(batches):
         for batch in batches:
-            got = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(got), 16384):
-                part = got[at : at + 16384]
+            node, of, got = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for at in range(0, len(got), 8192):
+                part = got[at : at + 8192].view(np.uint64)
                 row, key, side = fuzzy_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), _signed(part[row])], ["key", "side", "print"])
+                key = key | (of[at : at + 8192].astype(np.int64)[row] << 26)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), _signed(part[row]), pa.array(node[at : at + 8192][row])], ["key", "side", "print", "node"])
 
-    keys = prints.select("print").where(F.col("print").isNotNull()).distinct().mapInArrow(keyed, "key long, side byte, print long")
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-    hot = hot.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("print"), F.coalesce("blocks", F.lit(1))).cast("int")
+    def keys_of(some: DataFrame) -> DataFrame:
+        return some.select("node", "table", "print").mapInArrow(keyed, "key long, side byte, print long, node long")
+
+    keys = keys_of(prints)
+    sample = keys_of(prints.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HOT_SAMPLE)) == 0))
+    hot = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SAMPLE * 2 > bucket)
+    hot = hot.select("key", F.ceil(F.col("n") * HOT_SAMPLE / bucket + 1).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
     others = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
     # probe rows of block i meet base rows of block j in group (key, i, j)
     pairs = F.transform(others, lambda x: F.when(F.col("side") == 0, F.struct(F.col("own").alias("i"), x.alias("j"))).otherwise(F.struct(x.alias("i"), F.col("own").alias("j"))))
-    dealt = keys.join(hot, "key", "left").withColumn("own", own).select("key", "side", "print", F.explode(pairs).alias("block"))
-    dealt = dealt.select(F.xxhash64("key", "block.i", "block.j").alias("spread"), "key", "block.i", "block.j", "side", "print")
+    dealt = keys.join(hot, "key", "left").withColumn("own", own).select("key", "side", "print", "node", F.explode(pairs).alias("block"))
+    dealt = dealt.select(F.xxhash64("key", "block.i", "block.j").alias("spread"), "key", "block.i", "block.j", "side", "print", "node")
 
-    def meet(batches):
-        rest: list[np.ndarray] | None = None
+    def meet(batches, least: int = 16384):
+        held: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)] if rest else now
-            if not len(now[0]):
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)])
+            n += batch.num_rows
+            if n < least:
                 continue
+            now = [np.concatenate(x) for x in zip(*held, strict=True)]
             last = np.flatnonzero(np.any([x != x[-1] for x in now[:4]], axis=0))
             cut = last[-1] + 1 if len(last) else 0
-            rest = [x[cut:] for x in now]
+            held, n = [[x[cut:] for x in now]], len(now[0]) - cut
             if cut:
                 yield from found([x[:cut] for x in now])
-        if rest and len(rest[0]):
-            yield from found(rest)
+            least = max(16384, 2 * n)  # a group that goes on is looked at again when it has doubled
+        if n:
+            yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def found(x: list[np.ndarray]):
         new = np.any([c[1:] != c[:-1] for c in x[:4]], axis=0)
-        a, b = sorted_links(np.r_[0, np.cumsum(new)], x[4], x[5].view(np.uint64), distance)
+        a, b = sorted_links(np.r_[0, np.cumsum(new)], x[4], x[5].view(np.uint64), x[6], distance)
         if len(a):
-            yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    spark = prints.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("spread", "key", "i", "j", "side")
     return dealt.repartition(n, "spread").sortWithinPartitions(*order).mapInArrow(meet, "a long, b long").distinct()
 
@@ -237,9 +249,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     One row for each row of `docs`; see fingerprints for null, empty and short texts. A component whose doc_ids are
     all null has a null component_id, else nulls don't count. Empty tables give an empty result.
     """
+    if not 0 <= distance <= 3:
+        raise ValueError("the keys find all pairs within three bits only")
     prints, _ = stash(fingerprints(docs, shingle, seed), "simhash")
     firsts, _ = stash(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    roots = components(links(firsts, distance, bucket))
+    each = firsts.select(F.col("print").alias("node"), F.lit(0).alias("table"), "print")
+    roots = components(links(each, distance, bucket))
     rooted = firsts.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(least, "root").select("print", "component_id")
