@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 # What models leave in transcriptions, and page headers. Java's $ takes only \n for a line end under (?d).
 IMAGE_LINK = r"!\[[^\]]*\]\([^)]*\)"
@@ -61,12 +62,12 @@ def truthy(text: Column) -> Column:
     return F.coalesce(text != "", F.lit(False))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -96,25 +97,25 @@ def fold_nation(value: str | None) -> str:
     return fold(NATIONALITY_CODES.get(unicodedata.normalize("NFKC", value).strip().upper(), value))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_name(name: pd.Series) -> pd.Series:
     """See fold; null gives ""."""
     return name.map(fold)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_doc_number(number: pd.Series) -> pd.Series:
     """NFKC, upper case, without white space, hyphens and periods; null gives ""."""
     return number.map(fold_number)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_nationality(value: pd.Series) -> pd.Series:
     """A code's adjective, or the value, as a folded name; null gives ""."""
     return value.map(fold_nation)
 
 
-@pandas_udf("struct<fname string, fnum string, fnac string>")
+@pandas_udf(StructType().add("fname", StringType()).add("fnum", StringType()).add("fnac", StringType()))
 def fold_person(name: pd.Series, number: pd.Series, nationality: pd.Series) -> pd.DataFrame:
     """All three foldings in one pass."""
     return pd.DataFrame({"fname": name.map(fold), "fnum": number.map(fold_number), "fnac": nationality.map(fold_nation)})
@@ -125,13 +126,13 @@ def similarity(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names after folding; 0 where one is absent."""
     return pd.Series([similarity(fold(x), fold(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def similarity_matrix(rows: pd.Series, columns: pd.Series) -> pd.Series:
     """Row by row similarities of two arrays of folded names."""
     return pd.Series([[similarity(a, b) for a in x for b in y] for x, y in zip(rows, columns, strict=True)])

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from casegraph.config import DOCUMENT_TYPES, GENERATIONS
 from casegraph.functions.text import resolve_label, strip_page_headers, strip_white
@@ -65,7 +66,7 @@ def fields_of_reply(reply: str | None, kind: str | None) -> dict[str, str]:
     return out
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def parse_fields(reply: pd.Series, kind: pd.Series) -> pd.Series:
     """See fields_of_reply; `kind` is the document type."""
     return pd.Series([fields_of_reply(r, k) for r, k in zip(reply, kind, strict=True)], dtype=object)

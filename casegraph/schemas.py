@@ -1,22 +1,20 @@
-"""Explicit schemas of the tables and of the nested documents, with the labels that forms print."""
+"""Explicit schemas, as DDL, of the tables and of the nested documents, with the labels that forms print."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+STATUS = "case_id string, document_id string, stage string, attempt_count int, last_updated string, error_detail string"
+EXTRACTION_ROW = "case_id string, document_id string, extracted_at string, processing_seconds double, payload string"
+EVALUATION_ROW = "case_id string, evaluated_at string, payload string"
 
-STATUS = StructType.fromDDL("case_id string, document_id string, stage string, attempt_count int, last_updated string, error_detail string")
-EXTRACTION_ROW = StructType.fromDDL("case_id string, document_id string, extracted_at string, processing_seconds double, payload string")
-EVALUATION_ROW = StructType.fromDDL("case_id string, evaluated_at string, payload string")
-
-OCR_RESULT = StructType.fromDDL(
+OCR_RESULT = (
     "case_id string, document_id string, source_file string, "
-    "extraction struct<file_type string, extracted_text string, page_count int, pages_via_text_layer int, pages_via_vlm int, "
-    "orientation_corrections map<string,string>, acroform_fields map<string,string>, xfa_fields map<string,string>>, "
-    "classification struct<document_type string, generation string, confidence double, raw_response string>, "
-    "field_extraction struct<fields map<string,string>, raw_response string>, "
+    "extraction struct<file_type: string, extracted_text: string, page_count: int, pages_via_text_layer: int, pages_via_vlm: int, "
+    "orientation_corrections: map<string,string>, acroform_fields: map<string,string>, xfa_fields: map<string,string>>, "
+    "classification struct<document_type: string, generation: string, confidence: double, raw_response: string>, "
+    "field_extraction struct<fields: map<string,string>, raw_response: string>, "
     "processing_seconds double, model_name string, extracted_at string"
 )
-RESULT_FILE = StructType.fromDDL(f"case_id string, document_id string, ok boolean, error_detail string, result struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in OCR_RESULT.fields)}>")
+RESULT_FILE = f"case_id string, document_id string, ok boolean, error_detail string, result struct<{OCR_RESULT}>"
 
 STAGES = ("RECEIVED", "OCR_DONE", "FAILED")
 CASE_STATUSES = ("RECEIVED", "OCR_DONE", "RULES_EVALUATED", "RENDERED", "FAILED")
