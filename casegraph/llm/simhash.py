@@ -111,6 +111,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, print long")
 
 
+#: The fingerprints that rows carry: one array of uint64 for each.
+Prints = list[np.ndarray]
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Which of the links a-b (rows 0 to n-1) join what those before them haven't joined."""
     parent = list(range(n))
@@ -130,14 +134,19 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def group_links(side: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def _apart(prints: Prints, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows x and y differ, over all fingerprints that rows carry."""
+    return sum(np.bitwise_count(p[x] ^ p[y]) for p in prints)
+
+
+def group_links(side: np.ndarray, prints: Prints, nodes: np.ndarray, distance: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links between the nodes of one group: a spanning forest of the pairs within `distance` bits."""
     names, at = np.unique(nodes, return_inverse=True)
     probe, base = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     left, right = [], []
     for k in range(0, len(probe), step):
         part = probe[k : k + step]
-        i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[base][None, :]) <= distance)
+        i, j = np.nonzero(_apart(prints, part[:, None], base[None, :]) <= distance)
         x, y = at[part[i]], at[base[j]]
         x, y = x[x != y], y[x != y]
         if len(x):
@@ -151,7 +160,7 @@ def group_links(side: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distanc
     return names[x[some]], names[y[some]]
 
 
-def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def sorted_links(group: np.ndarray, side: np.ndarray, prints: Prints, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run of equal `group`; rows are sorted by (group, side)."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
@@ -165,11 +174,11 @@ def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, nodes:
     left = np.repeat(rows, per_row)
     within = np.arange(len(left)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     right = np.repeat(np.repeat(starts + probes, probes), per_row) + within
-    near = np.bitwise_count(prints[left] ^ prints[right]) <= distance
+    near = _apart(prints, left, right) <= distance
     a, b = [nodes[left[near]]], [nodes[right[near]]]
     for k in np.flatnonzero((products > 0) & ~small):
         own = slice(starts[k], ends[k])
-        x, y = group_links(side[own], prints[own], nodes[own], distance)
+        x, y = group_links(side[own], [p[own] for p in prints], nodes[own], distance)
         a.append(x)
         b.append(y)
     a, b = np.concatenate(a), np.concatenate(b)
@@ -181,49 +190,59 @@ def sorted_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, nodes:
 
 #: One node in so many is looked at to find keys that have to be cut into blocks.
 HOT_SAMPLE = 16
+#: Hot keys up to this number are broadcast (16 bytes each); beyond it they are joined by a shuffle.
+MOST_BROADCAST = 65536
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between nodes of `prints` (node, table, print) with a fingerprint of one table within `distance` bits.
+    """a, b: links between nodes of `prints` (node, table, print, more) with a fingerprint of one table within `distance` bits.
 
-    All pairs within three bits are found, and of those further apart the ones that share a key. Not all pairs are
-    given, but links enough that two nodes are connected exactly if a chain of found pairs connects them. A node has
-    one row for each table; keys with about `bucket` rows or more are cut into blocks.
+    `more` is an array of further fingerprints, as many in each row; keys come from `print` alone, and the bits of
+    all count. All pairs within three bits are found, and of those further apart the ones that share a key. Not all
+    pairs are given, but links enough that two nodes are connected exactly if a chain of found pairs connects them. A
+    node has one row for each table; keys with about `bucket` rows or more are cut into blocks. A group is named by a
+    64-bit hash of its key and blocks: two groups that share a name only give more pairs to look at.
     """
+    more = prints.select(F.size("more").alias("n")).first()
+    extra = [f"more{k}" for k in range(more.n if more else 0)]
+    wide = prints.select("node", "table", "print", *(F.col("more")[k].alias(c) for k, c in enumerate(extra)))
 
     def keyed(batches):
         for batch in batches:
-            node, of, got = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for at in range(0, len(got), 8192):
-                part = got[at : at + 8192].view(np.uint64)
-                row, key, side = fuzzy_keys(part)
-                key = key | (of[at : at + 8192].astype(np.int64)[row] << 26)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), _signed(part[row]), pa.array(node[at : at + 8192][row])], ["key", "side", "print", "node"])
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, 8192):
+                node, of, *got = (c[at : at + 8192] for c in columns)
+                row, key, side = fuzzy_keys(got[0].view(np.uint64))
+                key = key | (of.astype(np.int64)[row] << 26)
+                taken = [pa.array(x[row]) for x in (*got, node)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), *taken], ["key", "side", "print", *extra, "node"])
 
     def keys_of(some: DataFrame) -> DataFrame:
-        return some.select("node", "table", "print").mapInArrow(keyed, "key long, side byte, print long, node long")
+        return some.mapInArrow(keyed, ", ".join(["key long, side byte, print long", *(f"{c} long" for c in extra), "node long"]))
 
-    keys = keys_of(prints)
-    sample = keys_of(prints.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HOT_SAMPLE)) == 0))
+    keys = keys_of(wide)
+    sample = keys_of(wide.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HOT_SAMPLE)) == 0))
     hot = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SAMPLE * 2 > bucket)
-    hot = hot.select("key", F.ceil(F.col("n") * HOT_SAMPLE / bucket + 1).cast("int").alias("blocks"))
+    hot, _ = stash(hot.select("key", F.ceil(F.col("n") * HOT_SAMPLE / bucket + 1).cast("int").alias("blocks")), "hot-keys")
+    if hot.count() <= MOST_BROADCAST:
+        hot = F.broadcast(hot)
     own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
     others = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
     # probe rows of block i meet base rows of block j in group (key, i, j)
-    pairs = F.transform(others, lambda x: F.when(F.col("side") == 0, F.struct(F.col("own").alias("i"), x.alias("j"))).otherwise(F.struct(x.alias("i"), F.col("own").alias("j"))))
-    dealt = keys.join(hot, "key", "left").withColumn("own", own).select("key", "side", "print", "node", F.explode(pairs).alias("block"))
-    dealt = dealt.select(F.xxhash64("key", "block.i", "block.j").alias("spread"), "key", "block.i", "block.j", "side", "print", "node")
+    pairs = F.transform(others, lambda x: F.when(F.col("side") == 0, F.xxhash64("key", "own", x)).otherwise(F.xxhash64("key", x, "own")))
+    kept = ("side", "print", *extra, "node")
+    dealt = keys.join(hot, "key", "left").withColumn("own", own).select(F.explode(pairs).alias("group"), *kept)
 
     def meet(batches, least: int = 16384):
         held: list[list[np.ndarray]] = []
         n = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)])
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             n += batch.num_rows
             if n < least:
                 continue
             now = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = np.flatnonzero(np.any([x != x[-1] for x in now[:4]], axis=0))
+            last = np.flatnonzero(now[0] != now[0][-1])
             cut = last[-1] + 1 if len(last) else 0
             held, n = [[x[cut:] for x in now]], len(now[0]) - cut
             if cut:
@@ -233,14 +252,13 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
             yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def found(x: list[np.ndarray]):
-        new = np.any([c[1:] != c[:-1] for c in x[:4]], axis=0)
-        a, b = sorted_links(np.r_[0, np.cumsum(new)], x[4], x[5].view(np.uint64), x[6], distance)
+        group, side, *got, node = x
+        a, b = sorted_links(group, side, [p.view(np.uint64) for p in got], node, distance)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("spread", "key", "i", "j", "side")
-    return dealt.repartition(n, "spread").sortWithinPartitions(*order).mapInArrow(meet, "a long, b long").distinct()
+    return dealt.repartition(n, "group").sortWithinPartitions("group", "side").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
@@ -253,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         raise ValueError("the keys find all pairs within three bits only")
     prints, _ = stash(fingerprints(docs, shingle, seed), "simhash")
     firsts, _ = stash(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    each = firsts.select(F.col("print").alias("node"), F.lit(0).alias("table"), "print")
+    each = firsts.select(F.col("print").alias("node"), F.lit(0).alias("table"), "print", F.array().cast("array<bigint>").alias("more"))
     roots = components(links(each, distance, bucket))
     rooted = firsts.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
