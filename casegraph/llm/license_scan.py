@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Licence notices are templates: word lists with mandatory key phrases. The index has, for each template word, its
-postings (template, position). A first pass counts in how many of all files each template word stands, which gives its
-inverse document frequency. For a file, the places of its highest-IDF licence words are looked up: a word at place p
-with a posting (t, q) proposes that template t begins at p - q. A beginning on which two different rare words agree is
-a candidate; it is verified word by word against the template, and all its key phrases must stand there in full.
+Licence notices are templates: word lists with mandatory key phrases. A first pass counts in how many of all files each
+template word stands, which gives its inverse document frequency. The index has, for each template, the places
+(template, position) of the highest-IDF words of its key phrases. A file's places of these words are looked up: a word
+at place p with a posting (t, q) proposes that template t begins at p - q. A beginning on which two different rare words
+agree is a candidate; it is verified word by word against the template, and all its key phrases must stand there in
+full. Key phrases are mandatory, so each notice has its anchors, whatever else stands in the file.
 
 All of a file's work is in its own row, so there is no shuffle but that of the word counts, and neither hot words nor
 repeated files gather anywhere.
@@ -24,8 +25,8 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that always give their label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Rarest licence words of a file that are looked up, and the share of a template that has to stand in its place.
-RARE_WORDS, LEAST_COVERAGE = 8, 0.7
+#: Rarest key words of a template that are looked up, two at least, and the share of a template that has to stand in its place.
+RARE_WORDS, LEAST_COVERAGE = 2, 0.7
 
 
 @dataclass(frozen=True)
@@ -109,16 +110,27 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base=BASE
         raise ValueError("too many template words")
     total, counts = word_frequencies(docs, vocabulary)
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary}
-    #: Rank of a word by IDF, rarest first: a file's lowest ranks are its highest-IDF licence words.
-    ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))
+    keyed_at = [sorted({p for key in t.keys for k in [phrase_at(ws, template_words(key))] for p in range(k, k + len(template_words(key)))}) for t, ws in zip(templates, texts, strict=True)]
+    # postings of each template's rarest key words; without two key words any two of all its words are anchors
+    found: dict[str, list[int]] = {}
+    for t, (ws, at) in enumerate(zip(texts, keyed_at, strict=True)):
+        if len({ws[q] for q in at}) < 2:
+            at, most = range(len(ws)), len(ws)
+        else:
+            most = max(2, rare_words)
+        chosen = sorted({ws[q] for q in at}, key=lambda w: (-idf[w], w))[:most]
+        for q in at:
+            if ws[q] in chosen:
+                found.setdefault(ws[q], []).append(t * _BEGIN - q)
+    ranked = sorted(found, key=lambda w: (-idf[w], w))
     rank = {w: k for k, w in enumerate(ranked)}
-    postings = [[t * _BEGIN - q for t, ws in enumerate(texts) for q, x in enumerate(ws) if x == w] for w in ranked]
+    postings = [found[w] for w in ranked]
 
     lit_array = lambda xs, kind: F.array(*map(F.lit, xs)).cast(f"array<{kind}>")
     ranks = F.create_map(*(F.lit(x) for w in ranked for x in (w, rank[w])))
     posting_table = F.array(*(lit_array(p, "bigint") for p in postings))
     text_table = F.array(*(lit_array(t, "string") for t in texts))
-    key_table = F.array(*(lit_array(sorted({p for key in t.keys for k in [phrase_at(ws, template_words(key))] for p in range(k, k + len(template_words(key)))}), "int") for t, ws in zip(templates, texts, strict=True)))
+    key_table = F.array(*(lit_array(at, "int") for at in keyed_at))
     label_table = lit_array([t.label for t in templates], "string")
 
     df = _pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words=words_of(F.col("text"))).drop("text")
@@ -133,12 +145,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base=BASE
         return out
 
     df = _pin(df, places=F.array_compact(F.transform(words, begins)))
-    df = _pin(df, known=F.array_intersect(words, lit_array(vocabulary, "string")))
-    df = _pin(df, rare=F.slice(F.sort_array(F.transform("known", lambda w: F.element_at(ranks, w))), 1, rare_words))
-    df = _pin(df, rare_text=F.transform("rare", lambda r: F.element_at(lit_array(ranked, "string"), r + 1)))
+    df = _pin(df, rare_text=F.array_intersect(words, lit_array(ranked, "string")))
     # places of the rare words: place * _WORDS + rank
     place = lambda w, i: F.when(F.array_contains("rare_text", w), i.cast("bigint") * _WORDS + F.element_at(ranks, w))
-    df = _pin(df, looked=F.when(F.size("rare") < 1, F.array().cast("array<bigint>")).otherwise(F.array_compact(F.transform(words, place))))
+    df = _pin(df, looked=F.when(F.size("rare_text") < 2, F.array().cast("array<bigint>")).otherwise(F.array_compact(F.transform(words, place))))
     anchors = F.flatten(F.transform("looked", lambda x: F.transform(F.element_at(posting_table, (x % _WORDS).cast("int") + 1), lambda p: (p + F.shiftright(x, 12) + _SHIFT) * _WORDS + x % _WORDS)))
     df = _pin(df, anchors=F.sort_array(F.array_distinct(anchors)))
     agreed = F.filter(F.col("anchors"), lambda x, i: F.coalesce(F.shiftright(F.get("anchors", i + 1), 12) == F.shiftright(x, 12), F.lit(False)))
