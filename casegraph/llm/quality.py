@@ -211,11 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    n_docs, n_known = docs.count(), sum(sizes.values())
+    n_known = sum(sizes.values())
     # the ids are chosen first: only the chosen rows' texts are moved or read by Python
     some = known.where(at < ((labelled_rows << 30) // n_known + 1))
     rows = _plain(docs).join(F.broadcast(some), "doc_id")
-    rest = _plain(docs).where(at < ((pool_rows << 30) // max(1, n_docs - n_known) + 1)).join(some, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    n_rest = docs.select(F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id", "left_anti").count()
+    # by a hash of its own: the labelled sample holds the smallest of the other
+    rest = _plain(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < ((pool_rows << 30) // max(1, n_rest) + 1)).join(some, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
     got = _featured(rows).unionAll(_featured(rest)).toPandas()
     got = got.sort_values(["y", "content", "metadata"], kind="stable", ignore_index=True)
     content, metadata = (np.frombuffer(b"".join(got[c]), "<f4").reshape(len(got), -1).astype(np.float64) for c in ("content", "metadata"))
