@@ -29,35 +29,47 @@ def _names(attributes) -> Column:
     return F.array(*map(F.lit, attributes)).cast("array<string>")
 
 
-def form_attributes(acroform: Column, xfa: Column, variant: Column) -> Column:
-    """map attribute → text of form fields: by the template's places, else by printed label; later fields win, and XFA
-    fields come after AcroForm ones of other names and replace those of the same."""
+_ENTRIES = "array<struct<k:string,v:string>>"
+
+
+def with_form_attributes(docs: DataFrame, acroform: str, xfa: str, variant: str, name: str, when: Column) -> DataFrame:
+    """`docs` with map `name` of attribute → text of form fields, null where `when` isn't met.
+
+    Fields are named by the template's places, else by printed label; later fields win, and XFA fields come after
+    AcroForm ones of other names and replace those of the same.
+    """
     empty = F.create_map().cast("map<string,string>")
-    a, x = F.coalesce(acroform, empty), F.coalesce(xfa, empty)
+    a, x = F.coalesce(F.col(acroform), empty), F.coalesce(F.col(xfa), empty)
+    by_label = _map_of({" ".join(v.lower().split()): k for k, v in SOLICITUD.items()})
+
+    def attribute(k: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for form, table in FORM_MAPS.items():
+            out = out.when(F.col(variant) == form, F.element_at(_map_of(table), k))
+        return F.coalesce(out, F.element_at(by_label, normalize_label(k)))
+
     # the order of one dictionary: AcroForm's keys with XFA's values where it has them, then XFA's other keys
+    docs = pin(docs, _forms=F.when(when, F.struct(a.alias("a"), x.alias("x"))))
+    a, x = F.col("_forms.a"), F.col("_forms.x")
     merged = F.concat(
         F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("k"), F.when(F.map_contains_key(x, e["key"]), F.element_at(x, e["key"])).otherwise(e["value"]).alias("v"))),
         F.filter(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), lambda e: ~F.map_contains_key(a, e["k"])),
     )
-    by_label = _map_of({" ".join(v.lower().split()): k for k, v in SOLICITUD.items()})
-    place = F.when(F.lit(False), F.lit(None).cast("string"))
-    def attribute(k: Column) -> Column:
-        out = place
-        for name, table in FORM_MAPS.items():
-            out = out.when(variant == name, F.element_at(_map_of(table), k))
-        return F.coalesce(out, F.element_at(by_label, normalize_label(k)))
-
-    named = F.filter(F.transform(merged, lambda e: F.struct(attribute(e["k"]).alias("k"), e["v"].alias("v"))), lambda e: e["k"].isNotNull())
+    docs = pin(docs, _named=F.filter(F.transform(merged, lambda e: F.struct(attribute(e["k"]).alias("k"), e["v"].alias("v"))), lambda e: e["k"].isNotNull()))
     field = lambda k: F.coalesce(F.element_at(x, F.lit(k)), F.element_at(a, F.lit(k)))
     filled = lambda c: F.coalesce(strip_white(c) != "", F.lit(False))
-    signed = variant == "ANEXO_III_IV"
+    signed = F.col(variant) == "ANEXO_III_IV"
     entry = lambda k, v: F.array(F.struct(F.lit(k).alias("k"), v.alias("v")))
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    place_ = F.when(signed & filled(field("En")), entry("lugar_presentacion", field("En"))).otherwise(none)
+    none = F.array().cast(_ENTRIES)
+    place = F.when(signed & filled(field("En")), entry("lugar_presentacion", field("En"))).otherwise(none)
     dated = F.when(signed & filled(field("a")) & filled(field("de")) & filled(field("de-0")), entry("fecha_presentacion", F.concat_ws("/", field("a"), field("de"), field("de-0")))).otherwise(none)
-    every = F.concat(named, place_, dated)
-    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.greatest(F.size(every), F.lit(1))), lambda z: z["k"] == e["k"]))
-    return F.map_from_entries(last)
+    docs = pin(docs, _every=F.reverse(F.concat("_named", place, dated)))
+    # backwards, so that the first entry of an attribute is its last
+    keys = F.transform("_every", lambda e: e["k"])
+    docs = pin(docs, _keys=F.array_distinct(keys), _all=keys)
+    value = lambda k: F.get(F.col("_every"), (F.array_position("_all", k) - 1).cast("int"))["v"]
+    found = F.map_from_arrays(F.reverse("_keys"), F.reverse(F.transform("_keys", value)))
+    return docs.withColumn(name, found).drop("_forms", "_named", "_every", "_keys", "_all")
 
 
 def _struct(found: Column, attributes: dict[str, str], flags: dict[str, Column]) -> Column:
@@ -79,7 +91,8 @@ def canonical_documents(extractions: DataFrame) -> DataFrame:
         F.col("classification").isNull().alias("_unknown"), F.col("extraction.acroform_fields").alias("_a"), F.col("extraction.xfa_fields").alias("_x"), F.col("field_extraction.fields").alias("_f"),
     )
     docs = pin(docs, _variant=F.when(F.col("document_type") == "APPLICATION", anexo_variant(F.col("normalized_text"))))
-    docs = pin(docs, _form=F.when(F.col("document_type") == "APPLICATION", form_attributes(F.col("_a"), F.col("_x"), F.col("_variant"))))
+    docs = with_form_attributes(docs, "_a", "_x", "_variant", "_form", F.col("document_type") == "APPLICATION")
+    docs = pin(docs, _form=F.col("_form"))
     form, found = F.col("_form"), F.col("_f")
     signed = F.coalesce(strip_white(F.element_at(form, F.lit("firma"))) != "", F.lit(False))
     sealed = truthy(F.element_at(found, F.lit("apostillado")))

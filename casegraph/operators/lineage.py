@@ -1,11 +1,16 @@
 """A family of three generations from the documents of each case.
 
-One shuffle brings a case's person records together in an array; all that follows is a narrow projection over it. Whether
-a pool of records is one person is a question of connectivity only, so no component ids are needed.
+One shuffle brings a case's person records together in an array; all that follows is a narrow projection over it. In what
+each two records of a case agree is told once, as a small number; pools are arrays of places in the records' array, and
+every gate is a look-up. Whether a pool is one person is a question of connectivity only, so no component ids are needed.
+
+A case is one row: its records take the square of their number in four-byte cells (a thousand records, four megabytes).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,50 +32,74 @@ def fuzzy(a: Column, b: Column) -> Column:
     return F.coalesce((a["fname"] != "") & (b["fname"] != "") & within, F.lit(False))
 
 
-def match_score(a: Column, b: Column, tolerance: int) -> Column:
-    """How many of name, birth date and document number two records agree on."""
-    return fuzzy(a, b).cast("int") + within_years(a["born"], b["born"], tolerance).cast("int") + same_folded(a["fnum"], b["fnum"]).cast("int")
+#: Bits of a pair's number: names, births and document numbers agree, and one of the births isn't known.
+NAME, BIRTH, NUMBER, UNDATED = 1, 2, 4, 8
+
+
+def row_at(i: Column) -> Column:
+    return F.get(F.col("rows"), i)
+
+
+def agreement(a: Column, b: Column, tolerance: int) -> Column:
+    """The number of a pair of records."""
+    bits = (
+        (fuzzy(a, b), NAME), (within_years(a["born"], b["born"], tolerance), BIRTH),
+        (same_folded(a["fnum"], b["fnum"]), NUMBER), (a["born"].isNull() | b["born"].isNull(), UNDATED),
+    )
+    return reduce(lambda x, y: x + y, (c.cast("int") * bit for c, bit in bits))
+
+
+def pair_number(i: Column, j: Column) -> Column:
+    return F.get(F.col("pairs"), F.least(i, j) * F.size("rows") + F.greatest(i, j))
+
+
+def match_score(number: Column) -> Column:
+    """On how many of name, birth date and document number two records agree."""
+    return F.bit_count(number.bitwiseAND(NAME | BIRTH | NUMBER))
+
+
+def name_gate(number: Column) -> Column:
+    return number.bitwiseAND(NAME) != 0
 
 
 def strict_gate(rules: Rules):
-    er = rules.entity_resolution
-    return lambda a, b: match_score(a, b, er.dob_tolerance_years) >= er.min_criteria
+    least = rules.entity_resolution.min_criteria
+    return lambda number: match_score(number) >= least
 
 
 def loose_gate(rules: Rules):
     """The strict gate, or the name alone where a birth date is missing."""
     strict = strict_gate(rules)
-    return lambda a, b: strict(a, b) | (fuzzy(a, b) & (a["born"].isNull() | b["born"].isNull()))
+    return lambda number: strict(number) | (number.bitwiseAND(NAME | UNDATED) == NAME | UNDATED)
 
 
 def connected(pool: Column, gate) -> Column:
     """Whether the records of a pool hang together by `gate`; true for an empty one.
 
-    Grows the set of reached places from the first until it stays the same, so a pool costs its diameter times its
+    Grows the set of reached records from the first until it stays the same, so a pool costs its diameter times its
     square; the pool of a case is small.
     """
-    places = F.sequence(F.lit(0), F.size(pool) - 1)
-    start = F.struct(F.array(F.lit(0)).alias("seen"), F.lit(False).alias("done"))
+    start = F.struct(F.slice(pool, 1, 1).alias("seen"), F.lit(False).alias("done"))
 
     def grow(state: Column, _: Column) -> Column:
-        more = F.filter(places, lambda i: F.array_contains(state["seen"], i) | F.exists(state["seen"], lambda j: gate(F.get(pool, i), F.get(pool, j))))
+        more = F.filter(pool, lambda i: F.array_contains(state["seen"], i) | F.exists(state["seen"], lambda j: gate(pair_number(i, j))))
         return F.when(state["done"], state).otherwise(F.struct(more.alias("seen"), (F.size(more) == F.size(state["seen"])).alias("done")))
 
-    reached = F.aggregate(places, start, grow, lambda s: F.size(s["seen"]))
+    reached = F.aggregate(pool, start, grow, lambda s: F.size(s["seen"]))
     return F.when(F.size(pool) <= 1, F.lit(True)).otherwise(reached == F.size(pool))
 
 
 def some_pair(pool: Column, condition) -> Column:
-    """Whether `condition` holds for two different records, each pair taken once, in order."""
-    return F.coalesce(F.exists(pool, lambda a: F.exists(pool, lambda b: (a["ord"] < b["ord"]) & condition(a, b))), F.lit(False))
+    """Whether `condition` holds for two different places, each pair taken once, in order."""
+    return F.coalesce(F.exists(pool, lambda i: F.exists(pool, lambda j: (i < j) & condition(i, j))), F.lit(False))
 
 
 def _several(pool: Column, present, value) -> Column:
-    return F.size(F.array_distinct(F.transform(F.filter(pool, present), value))) > 1
+    return F.size(F.array_distinct(F.transform(F.filter(pool, lambda i: present(row_at(i))), lambda i: value(row_at(i))))) > 1
 
 
-def _first(pool: Column, field: str) -> Column:
-    return F.get(F.filter(pool, lambda r: truthy(r[field])), F.lit(0))
+def _first(pool: Column, present) -> Column:
+    return row_at(F.get(F.filter(pool, lambda i: present(row_at(i))), F.lit(0)))
 
 
 def _flags(*pairs: tuple[str, Column]) -> Column:
@@ -79,17 +108,18 @@ def _flags(*pairs: tuple[str, Column]) -> Column:
 
 def name_conflict(pool: Column) -> Column:
     """Whether two names given for one person don't match."""
-    return some_pair(F.filter(pool, lambda r: truthy(r["name"])), lambda a, b: ~fuzzy(a, b))
+    return some_pair(F.filter(pool, lambda i: truthy(row_at(i)["name"])), lambda i, j: ~name_gate(pair_number(i, j)))
 
 
 def merge(pool: Column) -> Column:
     """The person of a connected pool: of each attribute the first value there is, in the pool's order."""
-    by_name, by_number = _first(pool, "name"), _first(pool, "number")
+    first = lambda field: _first(pool, lambda r: truthy(r[field]))
+    by_name, by_number = first("name"), first("number")
     return F.struct(
         by_name["name"].alias("name"), by_name["fname"].alias("fname"), by_name["words"].alias("words"),
-        F.get(F.filter(pool, lambda r: r["born"].isNotNull()), F.lit(0))["born"].alias("born"),
-        _first(pool, "place")["place"].alias("place"), by_number["number"].alias("number"), by_number["fnum"].alias("fnum"),
-        _first(pool, "nation")["nation"].alias("nation"), _first(pool, "sex")["sex"].alias("sex"),
+        _first(pool, lambda r: r["born"].isNotNull())["born"].alias("born"),
+        first("place")["place"].alias("place"), by_number["number"].alias("number"), by_number["fnum"].alias("fnum"),
+        first("nation")["nation"].alias("nation"), first("sex")["sex"].alias("sex"),
     )
 
 
@@ -114,7 +144,7 @@ def resolve(pool: Column, gate, strict=None) -> Column:
     one = F.struct(
         merge(pool).alias("person"), F.lit(False).alias("rejected"), F.lit(False).alias("ambiguous"),
         _flags(*conflicts(pool), ("GENERACION_INFERIDA_BAJA_CONFIANZA", weak)).alias("flags"),
-        F.array_distinct(F.transform(pool, lambda r: r["doc"])).alias("documents"),
+        F.array_distinct(F.transform(pool, lambda i: row_at(i)["doc"])).alias("documents"),
     )
     return F.when(F.size(pool) == 0, _role(False)).when(~whole, _role(True)).otherwise(one.cast(ROLE))
 
@@ -155,26 +185,12 @@ def collapse(roles: Column) -> Column:
     )
 
 
-def _slot(r: Column, slot1: Column, slot2: Column, grid: Column, width: Column) -> Column:
-    """Slot of a certificate's subject by its name: 1, 2, or 0 if it fits neither or both alike."""
-    fits = lambda slot: F.exists(slot, lambda p: truthy(p["name"]) & fuzzy(r, p))
-    near = lambda slot: F.coalesce(F.array_max(F.transform(F.filter(slot, lambda p: truthy(p["name"])), lambda p: F.get(grid, r["place_in"] * width + p["place_in"]))), F.lit(0.0))
-    one, two = fits(slot1), fits(slot2)
-    tie = F.when(near(slot1) > near(slot2), 1).when(near(slot2) > near(slot1), 2).otherwise(0)
-    return F.when(one & two, tie).when(one, 1).when(two, 2).otherwise(0)
-
-
-def _of(pool: Column, generation: str, kind: int | None = None) -> Column:
-    return F.filter(pool, lambda r: F.coalesce(r["gen"] == generation, F.lit(False)) & (F.lit(True) if kind is None else r["kind"] == kind))
-
-
-def _full(pool: Column) -> Column:
-    return F.filter(pool, lambda r: ~is_empty(r))
-
-
-def collect_cases(records: DataFrame) -> DataFrame:
-    """case_id with `people` (applicant and holders), `subjects` and `parents`, each in its pool's order, and `grid`: the
-    similarities of subjects and parents of a case in which a subject's name fits parents of both slots."""
+def collect_cases(records: DataFrame, rules: Rules) -> DataFrame:
+    """case_id with `rows`, its records in the order in which they enter pools (applicant, holders, then each
+    certificate's subject and parents), `full` (places of those that hold anything), `pairs` (see agreement; the smaller
+    place first), `gens` (each record's generation), `subjects` and `parents` (places), and `grid`: the similarities of
+    subjects and parents of a case in which a subject's name fits parents of both slots.
+    """
     one = F.struct(
         "kind", F.col("document_id").alias("doc"), "name", "number", "nation", "born", "sex", "place", "fname", "fnum", "fnac", "words",
         F.col("generation").alias("gen"), F.col("generation").isNull().alias("untagged"),
@@ -183,74 +199,105 @@ def collect_cases(records: DataFrame) -> DataFrame:
     cases = records.groupBy("case_id").agg(F.sort_array(F.collect_list(order)).alias("rows"))
     # the first application alone counts
     rows = F.filter(F.col("rows"), lambda x, i: (x["kind"] != APPLICANT) | (i == 0))
-    numbered = F.transform(rows, lambda x, i: x["r"].withField("ord", i))
-    cases = pin(cases.select("case_id", "rows"), rows=numbered)
-    placed = lambda pool: F.transform(pool, lambda r, i: r.withField("place_in", i))
-    pick = lambda *kinds: placed(F.filter(F.col("rows"), lambda r: r["kind"].isin(*kinds)))
-    cases = pin(cases, people=pick(APPLICANT, HOLDER), subjects=pick(SUBJECT), parents=pick(PARENT_1, PARENT_2)).drop("rows")
-    both = F.exists(
-        F.col("subjects"),
-        lambda r: F.exists(F.col("parents"), lambda p: (p["kind"] == PARENT_1) & fuzzy(r, p)) & F.exists(F.col("parents"), lambda p: (p["kind"] == PARENT_2) & fuzzy(r, p)),
-    )
-    names = lambda c: F.when(both, F.transform(F.col(c), lambda r: r["fname"])).otherwise(F.array().cast(_STRINGS))
+    cases = pin(cases, rows=F.transform(rows, lambda x: x["r"]))
+    places = F.sequence(F.lit(0), F.size("rows") - 1)
+    tolerance = rules.entity_resolution.dob_tolerance_years
+    number = lambda i, j: F.when(i < j, agreement(row_at(i), row_at(j), tolerance)).otherwise(0)
+    pick = lambda *kinds: F.filter(places, lambda i: row_at(i)["kind"].isin(*kinds))
+    cases = pin(
+        cases,
+        pairs=F.flatten(F.transform(places, lambda i: F.transform(places, lambda j: number(i, j)))),
+        full=F.filter(places, lambda i: ~is_empty(row_at(i))),
+        gens=F.transform("rows", lambda r: r["gen"]),
+        subjects=pick(SUBJECT), parents=pick(PARENT_1, PARENT_2),
+    )
+    fits = lambda i, kind: F.exists("parents", lambda j: (row_at(j)["kind"] == kind) & name_gate(pair_number(i, j)))
+    both = F.exists("subjects", lambda i: fits(i, PARENT_1) & fits(i, PARENT_2))
+    names = lambda c: F.when(both, F.transform(F.col(c), lambda i: row_at(i)["fname"])).otherwise(F.array().cast(_STRINGS))
     cases = pin(cases, _s=names("subjects"), _p=names("parents"))
     return cases.withColumn("grid", similarity_matrix("_s", "_p")).drop("_s", "_p")
 
 
+def _slot(i: Column) -> Column:
+    """Slot of a certificate's subject by its name: 1, 2, or 0 if it fits neither or both alike."""
+    named = lambda slot: F.filter(slot, lambda j: truthy(row_at(j)["name"]))
+    one, two = (F.exists(named(F.col(s)), lambda j: name_gate(pair_number(i, j))) for s in ("slot1", "slot2"))
+    at = lambda c, k: (F.array_position(F.col(c), k) - 1).cast("int")
+    likeness = lambda j: F.get(F.col("grid"), at("subjects", i) * F.size("parents") + at("parents", j))
+    near = lambda slot: F.coalesce(F.array_max(F.transform(named(slot), likeness)), F.lit(0.0))
+    near1, near2 = near(F.col("slot1")), near(F.col("slot2"))
+    tie = F.when(near1 > near2, 1).when(near2 > near1, 2).otherwise(0)
+    return F.when(one & two, tie).when(one, 1).when(two, 2).otherwise(0)
+
+
+def same_person(a: Column, b: Column, rules: Rules) -> Column:
+    """The strict gate of a record and a person."""
+    return strict_gate(rules)(agreement(a, b, rules.entity_resolution.dob_tolerance_years))
+
+
 def _one_pass(cases: DataFrame, rules: Rules, first: bool) -> DataFrame:
     strict, loose = strict_gate(rules), loose_gate(rules)
     col = F.col
+    nobody = F.array().cast("array<int>")
 
     def put(df: DataFrame, **columns: Column) -> DataFrame:
         """Pin columns; a later pass changes only cases in which the one before inferred something."""
         return pin(df, **(columns if first else {n: F.when(col("changed"), c).otherwise(col(n)) for n, c in columns.items()}))
 
-    cases = put(cases, pool1=_full(F.concat(col("people"), _of(col("subjects"), "G1"))))
+    def of(generation: str, kind: int) -> Column:
+        """Places of the records of a kind, not empty, in certificates of a generation."""
+        return F.filter("full", lambda i: F.coalesce(F.get(col("gens"), i) == generation, F.lit(False)) & (row_at(i)["kind"] == kind))
+
+    def put_for_now(df: DataFrame, **columns: Column) -> DataFrame:
+        """Pin columns that only this pass looks at."""
+        return pin(df, **(columns if first else {n: F.when(col("changed"), c) for n, c in columns.items()}))
+
+    people = F.filter("full", lambda i: row_at(i)["kind"].isin(APPLICANT, HOLDER))
+    cases = put(cases, pool1=F.concat(people, of("G1", SUBJECT)))
     cases = put(cases, g1=resolve(col("pool1"), loose, strict))
     known = resolved(col("g1"))
-    none = F.filter(col("subjects"), lambda _: F.lit(False))
-    cases = put(
+    cases = put_for_now(
         cases,
-        slot1=F.when(known, _of(col("parents"), "G1", PARENT_1)).otherwise(F.filter(col("parents"), lambda _: F.lit(False))),
-        slot2=F.when(known, _of(col("parents"), "G1", PARENT_2)).otherwise(F.filter(col("parents"), lambda _: F.lit(False))),
-        own2=_full(_of(col("subjects"), "G2")),
-    )
-    width = F.size(col("parents"))
-    slots = F.transform(col("own2"), lambda r: F.struct(r.alias("r"), _slot(r, col("slot1"), col("slot2"), col("grid"), width).alias("s")))
-    cases = put(cases, own2_slots=F.when(known, slots).otherwise(F.transform(none, lambda r: F.struct(r.alias("r"), F.lit(0).alias("s")))))
-    taken = lambda k: F.transform(F.filter(col("own2_slots"), lambda x: x["s"] == k), lambda x: x["r"])
-    cases = put(
-        cases,
-        pool2a=_full(F.concat(col("slot1"), taken(1))),
-        pool2b=_full(F.concat(col("slot2"), taken(2))),
-        # subjects that fit no slot, or all of them where the applicant isn't known
-        pool2c=F.when(known, taken(0)).otherwise(col("own2")),
-    )
+        slot1=F.when(known, of("G1", PARENT_1)).otherwise(nobody), slot2=F.when(known, of("G1", PARENT_2)).otherwise(nobody),
+        own2=of("G2", SUBJECT),
+    )
+    cases = put_for_now(cases, own2_slots=F.when(known, F.transform("own2", _slot)).otherwise(F.transform("own2", lambda _: F.lit(0))))
+    taken = lambda k: F.filter("own2", lambda i, at: F.get(col("own2_slots"), at) == k)
+    # the third pool: subjects that fit no slot, or all of them where the applicant isn't known
+    cases = put(cases, pool2a=F.when(known, F.concat("slot1", taken(1))).otherwise(nobody), pool2b=F.when(known, F.concat("slot2", taken(2))).otherwise(nobody), pool2c=taken(0))
     checked = lambda role: check_gap(col("g1"), role, rules)
-    other = F.when(known, resolve(col("pool2c"), fuzzy)).otherwise(resolve(col("pool2c"), loose, strict))
-    cases = put(cases, role2a=resolve(col("pool2a"), fuzzy), role2b=resolve(col("pool2b"), fuzzy), role2c=other)
+    other = F.when(known, resolve(col("pool2c"), name_gate)).otherwise(resolve(col("pool2c"), loose, strict))
+    cases = put(cases, role2a=resolve(col("pool2a"), name_gate), role2b=resolve(col("pool2b"), name_gate), role2c=other)
     several = F.concat(F.array(checked(col("role2a")), checked(col("role2b"))), F.when(F.size("pool2c") > 0, F.array(checked(col("role2c")))).otherwise(F.array().cast(f"array<{ROLE}>")))
+    cases = cases.drop("slot1", "slot2", "own2", "own2_slots")
     cases = put(cases, candidates=F.when(known, several).otherwise(F.array(checked(col("role2c")))))
     cases = put(cases, g2=F.when(known, collapse(col("candidates"))).otherwise(F.get(col("candidates"), F.lit(0))))
-    parents = F.when(resolved(col("g2")), _of(col("parents"), "G2")).otherwise(F.filter(col("parents"), lambda _: F.lit(False)))
-    cases = put(cases, pool3=_full(F.concat(parents, _of(col("subjects"), "G3"))))
+    parents = F.when(resolved(col("g2")), F.filter("full", lambda i: F.coalesce(F.get(col("gens"), i) == "G2", F.lit(False)) & row_at(i)["kind"].isin(PARENT_1, PARENT_2))).otherwise(nobody)
+    cases = put(cases, pool3=F.concat(parents, of("G3", SUBJECT)))
     cases = put(cases, g3=resolve(col("pool3"), loose, strict))
     cases = put(cases, g3=check_gap(col("g2"), col("g3"), rules))
 
-    second = lambda r, p: F.when(known, fuzzy(r, p)).otherwise(strict(r, p))
+    second = lambda r, p: F.when(known, fuzzy(r, p)).otherwise(same_person(r, p, rules))
     is_second = lambda r: F.exists(col("candidates"), lambda c: resolved(c) & second(r, c["person"]))
     told = lambda r: (
-        F.when(known & strict(r, col("g1")["person"]), "G1")
+        F.when(known & same_person(r, col("g1")["person"], rules), "G1")
         .when(is_second(r), "G2")
-        .when(resolved(col("g3")) & strict(r, col("g3")["person"]), "G3")
+        .when(resolved(col("g3")) & same_person(r, col("g3")["person"], rules), "G3")
+    )
+    inferred = F.transform(
+        "subjects",
+        lambda i: F.struct(
+            row_at(i)["doc"].alias("doc"),
+            F.when(row_at(i)["untagged"] & ~is_empty(row_at(i)), F.coalesce(told(row_at(i)), F.get(col("gens"), i))).otherwise(F.get(col("gens"), i)).alias("gen"),
+        ),
     )
-    inferred = F.transform(col("subjects"), lambda r: F.when(r["untagged"] & ~is_empty(r), F.coalesce(told(r), r["gen"])).otherwise(r["gen"]))
-    cases = put(cases, next=inferred)
-    before = F.transform(col("subjects"), lambda r: r["gen"])
-    cases = pin(cases, changed=~before.eqNullSafe(col("next")) & (F.lit(True) if first else col("changed")))
-    gen_of = lambda r: F.get(col("next"), F.array_position(F.transform(col("subjects"), lambda s: s["doc"]), r["doc"]).cast("int") - 1)
-    moved = lambda c: F.when(col("changed"), F.transform(col(c), lambda r: r.withField("gen", gen_of(r)))).otherwise(col(c))
-    return pin(cases, subjects=moved("subjects"), parents=moved("parents"))
+    cases = put_for_now(cases, next=inferred)
+    # the whole certificate is of its subject's generation
+    gen_of = lambda r: F.get(F.filter("next", lambda x: x["doc"] == r["doc"]), F.lit(0))["gen"]
+    moved = F.transform("rows", lambda r, i: F.when(r["kind"] >= SUBJECT, gen_of(r)).otherwise(F.get(col("gens"), i)))
+    cases = put_for_now(cases, moved=moved)
+    changed = ~col("gens").eqNullSafe(col("moved")) & (F.lit(True) if first else col("changed"))
+    return pin(cases, changed=changed, gens=F.when(changed, col("moved")).otherwise(col("gens"))).drop("next", "moved")
 
 
 def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -260,13 +307,15 @@ def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     document names anybody have no row here; verdicts() fills them with unresolved roles.
     """
     rules = rules or Rules()
-    cases = collect_cases(person_records(docs))
+    cases = collect_cases(person_records(docs), rules)
     for k in range(PASSES):
         cases = _one_pass(cases, rules, k == 0)
     every = F.concat(*(F.col(c) for c in ("pool1", "pool2a", "pool2b", "pool2c", "pool3")))
-    cases = pin(cases, every=F.filter(every, lambda r: (r["fnum"] != "") & truthy(r["name"])))
-    crossed = some_pair(F.col("every"), lambda a, b: (a["fnum"] == b["fnum"]) & ~fuzzy(a, b))
-    inferred = F.filter(F.col("subjects"), lambda r: r["untagged"] & r["gen"].isNotNull())
-    cases = cases.select("case_id", "g1", "g2", "g3", crossed.alias("crossed"), F.map_from_entries(F.transform(inferred, lambda r: F.struct(r["doc"], r["gen"]))).alias("inferred"))
+    every = F.array_sort(F.filter(every, lambda i: (row_at(i)["fnum"] != "") & truthy(row_at(i)["name"])))
+    cases = pin(cases, every=every)
+    crossed = some_pair(F.col("every"), lambda i, j: (row_at(i)["fnum"] == row_at(j)["fnum"]) & ~name_gate(pair_number(i, j)))
+    inferred = F.filter("subjects", lambda i: row_at(i)["untagged"] & F.get(F.col("gens"), i).isNotNull())
+    entries = F.transform(inferred, lambda i: F.struct(row_at(i)["doc"], F.get(F.col("gens"), i)))
+    cases = cases.select("case_id", "g1", "g2", "g3", crossed.alias("crossed"), F.map_from_entries(entries).alias("inferred"))
     flags = F.concat("g1.flags", "g2.flags", "g3.flags", _flags(("DOCUMENTO_CRUZADO", F.col("crossed"))))
     return cases.withColumn("flags", F.array_sort(F.array_distinct(flags)))

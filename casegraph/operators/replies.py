@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
 from casegraph.config import DOCUMENT_TYPES, GENERATIONS
-from casegraph.functions.text import resolve_label, strip_page_headers, strip_white
+from casegraph.functions.text import FENCE, IMAGE_LINK, resolve_label, strip_page_headers, strip_white
 from casegraph.schemas import CERTIFICADO, IDENTIDAD
 
 MIN_CHARS, MAX_CHARS = 10, 4000
@@ -38,8 +38,8 @@ def _key(label: str) -> str:
 
 
 _LABELS = {"ID_DOCUMENT": {_key(v): k for k, v in IDENTIDAD.items()}, "BIRTH_CERT": {_key(v): k for k, v in CERTIFICADO.items()}}
-_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
-_FENCE = re.compile(r"^[ \t]*```[^\n]*\n?|\n?[ \t]*```[ \t]*$", re.MULTILINE)
+# Java's flag (?d) is Python's way of line ends anyhow
+_IMAGE, _FENCE = re.compile(IMAGE_LINK), re.compile(FENCE.replace("(?md)", "(?m)"))
 
 
 def fields_of_reply(reply: str | None, kind: str | None) -> dict[str, str]:
