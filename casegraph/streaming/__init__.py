@@ -1 +1 @@
-"""Streams of results and of status transitions."""
+"""Streams: document stages as keyed state with timers, and result files as they appear."""
