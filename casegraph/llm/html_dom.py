@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 
-#: Elements whose content is no text of the page.
-RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "head"}
+#: Elements whose content is no text of the page, and those among them that go on to the end if nothing ends them.
+RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "select", "title"}
+UNENDED = {"script", "style", "title", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -20,7 +21,8 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_TO_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -69,13 +71,85 @@ class Tree:
         return len(self.tag) - 1
 
 
+class _Open:
+    """The open elements: a stack, and where in it each tag and the block elements stand, so that no look-up goes through it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # tags with their nearest node
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags) -> int:
+        """Where the innermost of the tags stands; 0 if none does."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self, to: int) -> bool:
+        """Close what stands at `to` and above; whether there was a block element among it."""
+        for tag, _ in self.stack[to:]:
+            self.places[tag].pop()
+        del self.stack[to:]
+        block = False
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+            block = True
+        return block
+
+
+class Tags:
+    """Iterates over (begin, end, tag, attributes) of the tags of a page from `at`, which may be set forward meanwhile.
+
+    An end tag's name begins with a slash, comments and declarations have an empty one. A `<` before no name is text. A
+    tag ends at the first `>` outside quotes, or at the first at all from where quotes are left open; without a further
+    `>` all is text but an unended comment.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quoted = page, 0, True
+
+    def __iter__(self):
+        page, n = self.page, len(self.page)
+        while (begin := page.find("<", self.at)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                self.at = n if end < 0 else end + 3
+                yield begin, self.at, "", ""
+                continue
+            end = page.find(">", begin)
+            if page.startswith(("<!", "<?"), begin):
+                self.at = n if end < 0 else end + 1
+                yield begin, self.at, "", ""
+                continue
+            if end < 0:
+                begin = page.find("<!", begin)
+                if begin >= 0:
+                    yield begin, n, "", ""
+                return
+            name = _NAME.match(page, begin + 1)
+            if not name:
+                self.at = begin + 1
+                continue
+            whole = _TO_END.match(page, name.end()) if self.quoted else None
+            self.quoted = whole is not None
+            self.at = whole.end() if whole else end + 1
+            yield begin, self.at, name[0].lower(), page[name.end() : self.at - 1]
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page. Never fails: stray ends are ignored, what is open at the end is closed there."""
+    """The tree of a page, in time that grows with its length: stray ends are ignored, what is open at the end is closed there.
+
+    Content of scripts, styles, templates, noscript, frames and form fields, and the title, is no text; unknown elements,
+    formulas and drawings are text of their place.
+    """
     tree = Tree()
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their nearest node
+    open_ = _Open()
     parts: list[str] = []
     linked = 0
-    in_link = 0
 
     def flush() -> None:
         nonlocal linked
@@ -83,89 +157,70 @@ def parse(page: str) -> Tree:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                k = tree.add("#text", stack[-1][1])
+                k = tree.add("#text", open_.stack[-1][1])
                 tree.text[k] = text
                 tree.links[k] = min(len(text), linked)
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal in_link
-        for tag, _ in stack[to:]:
-            in_link -= tag == "a"
-        if any(tag in BLOCK for tag, _ in stack[to:]):
+        # the text before belongs to what is closed
+        if open_.blocks and open_.blocks[-1] >= to:
             flush()
-        del stack[to:]
+        open_.pop(to)
 
     at, lower = 0, None
-    while True:
-        m = _TAG.search(page, at)
-        if not m:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2]
+    unended: set[str] = set()
+    found = Tags(page)
+    for begin, end, tag, attributes in found:
+        if begin > at:
+            parts.append(page[at:begin])
+            if open_.places.get("a"):
+                linked += begin - at
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag == "p":
-                    flush()
-            continue
-        if tag == "br":
+        if tag[0] == "/":
+            k = open_.last((tag[1:],))
+            if k:
+                close(k)
+            elif tag == "/p":
+                flush()
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "input":
-                tree.fields[stack[-1][1]] += 1
-            continue
-        if tag in RAW and tag != "head":
+                tree.fields[open_.stack[-1][1]] += 1
+        elif tag in RAW:
             if tag in ("textarea", "select"):
-                tree.fields[stack[-1][1]] += 1
-            if m[3].rstrip().endswith("/"):
+                tree.fields[open_.stack[-1][1]] += 1
+            if attributes.rstrip().endswith("/"):
                 continue
             if lower is None:
                 lower = page.lower() if len(page.lower()) == len(page) else page
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
-                at = len(page) if tag in ("script", "style", "title", "textarea") else at
+            stop = -1 if tag in unended else lower.find(f"</{tag}", at)
+            if stop >= 0:
+                stop = page.find(">", stop)
+                found.at = at = len(page) if stop < 0 else stop + 1
             else:
-                stop = page.find(">", end)
-                at = len(page) if stop < 0 else stop + 1
-            continue
-        if tag == "button":
-            tree.fields[stack[-1][1]] += 1
-        if tag in BLOCK:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag in ENDS:
-            ends, bound = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in bound:
-                    break
-                if stack[k][0] in ends:
+                unended.add(tag)
+                found.at = at = len(page) if tag in UNENDED else at
+        else:
+            if tag == "button":
+                tree.fields[open_.stack[-1][1]] += 1
+            if tag in BLOCK:
+                flush()
+                if open_.blocks and open_.stack[open_.blocks[-1]][0] == "p":
+                    close(open_.blocks[-1])
+            if tag in ENDS:
+                ends, bound = ENDS[tag]
+                if (k := open_.last(ends)) > open_.last(bound):
                     close(k)
-                    break
-        if tag in ("html", "head", "body") and len(stack) == 1 and tag != "body":
-            continue
-        node = tree.add(tag, stack[-1][1], m[3]) if tag in BLOCK else stack[-1][1]
-        stack.append((tag, node))
-        in_link += tag == "a"
+            if tag in ("html", "head") and len(open_.stack) == 1:
+                continue
+            open_.push(tag, tree.add(tag, open_.stack[-1][1], attributes) if tag in BLOCK else open_.stack[-1][1])
+    parts.append(page[at:])
     flush()
     return tree
 

@@ -7,12 +7,15 @@ a mixed one each child is decided by itself; dynamic programming over the tree f
 kind, so no two choices on a path contradict each other. The main text is the text blocks labelled main, in order.
 
 The trees are trained here, on pages made by a seeded generator with known main text; no page of the input is used.
+`python -m casegraph.llm.html_extract` fits them again and writes the file that `model` reads.
 """
 
 from __future__ import annotations
 
 import random
+import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,11 @@ from pyspark.sql import functions as F
 
 from casegraph.llm import boosting
 from casegraph.llm.common import bounded_batches
-from casegraph.llm.html_dom import N_FEATURES, Tree, features, parse
+from casegraph.llm.html_dom import Tree, features, parse
 
 MAIN, OUT, MIXED = 0, 1, 2
 TRAIN_PAGES, SEED = 800, 5
+FILE = Path(__file__).with_name("html_trees.npz")
 
 
 class _Maker:
@@ -49,7 +53,7 @@ class _Maker:
         return " ".join(out).capitalize()
 
     def sentence(self) -> str:
-        return self.words(4, 18) + self.r.choice((".", ".", ".", "!", "?", ""))
+        return (self.words(1, 3) if self.r.random() < 0.12 else self.words(4, 18)) + self.r.choice((".", ".", ".", "!", "?", ""))
 
     def attributes(self, names: tuple[str, ...], chance: float) -> str:
         """A class or id with one of the names, perhaps beside others; often none."""
@@ -74,6 +78,9 @@ class _Maker:
     def paragraph(self, main: bool, short: float = 0.25) -> str:
         r = self.r
         n = r.randint(1, 2) if r.random() < short else r.randint(2, 9)
+        if r.random() < 0.04:  # a word or two, or a formula
+            text = r.choice((self.words(1, 2) + r.choice((".", "", "!")), f"<math><mi>{self.word()}</mi><mo>=</mo><mn>{r.randint(1, 99)}</mn></math>"))
+            return f"<p>{self.MARK if main else ''}{text}</p>"
         text = self.inline((self.MARK if main else "") + " ".join(self.sentence() for _ in range(n)))
         return f"<p>{text}" + ("</p>" if r.random() < 0.9 else "")
 
@@ -165,6 +172,10 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.04:  # no more than a text
+            return "".join(self.paragraph(True, 0.7) for _ in range(r.choice((1, 1, 2, 4))))
+        if r.random() < 0.03:
+            return f"<html><body>{self.article()}"
         top = [make() for make, chance in ((self.header, 0.6), (self.menu, 0.6), (self.notice, 0.3), (self.advert, 0.35), (self.form, 0.15)) if r.random() < chance]
         middle = [self.article()]
         if r.random() < 0.35:
@@ -199,9 +210,8 @@ def without_marks(tree: Tree) -> None:
     tree.text = [t.replace(_Maker.MARK, "").strip() for t in tree.text]
 
 
-@lru_cache(maxsize=2)
-def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> boosting.Forest:
-    """Trees fitted on `pages` made pages; the same for the same arguments."""
+def made(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes with text of `pages` made pages."""
     maker = _Maker(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -212,7 +222,30 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> boosting.Forest:
         there = x[:, _chars()] > 0
         xs.append(x[there])
         ys.append(y[there])
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys), 3)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> boosting.Forest:
+    """Trees fitted on `pages` made pages; the same for the same arguments."""
+    return boosting.fit(*made(pages, seed), 3)
+
+
+def fingerprint(pages: int = 20) -> int:
+    """Changes with the generator and the features, so that a file of trees fitted before can be told."""
+    x, y = made(pages)
+    return zlib.crc32(np.round(x, 3).astype("<f4").tobytes() + y.astype("<i8").tobytes())
+
+
+def write(path: Path = FILE) -> None:
+    f = train()
+    np.savez_compressed(path, feature=f.feature, threshold=f.threshold, leaf=f.leaf, classes=f.classes, depth=f.depth, start=f.start, made=fingerprint())
+
+
+@lru_cache(maxsize=1)
+def model(path: Path = FILE) -> boosting.Forest:
+    """The trees of a file."""
+    with np.load(path) as f:
+        return boosting.Forest(f["feature"], f["threshold"], f["leaf"], int(f["classes"]), int(f["depth"]), f["start"])
 
 
 @lru_cache(maxsize=1)
@@ -266,27 +299,28 @@ def main_blocks(trees: list[Tree], model: boosting.Forest) -> list[list[str]]:
     return out
 
 
-def extract(pages: DataFrame, model: boosting.Forest | None = None) -> DataFrame:
+def extract(pages: DataFrame, trees: boosting.Forest | None = None) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of `pages` (page_id, url, html), blocks joined by \\n.
 
-    Character references are decoded and white space within a block is one space. Null, empty and textless pages give
+    Character references are decoded and white space within a block is one space. Formulas and drawings keep their text;
+    noscript and templates, which a page doesn't show, have none. Null, empty and textless pages give
     an empty text. Whole pages are read, whatever their length and however broken; repeated rows give repeated rows,
     extra columns are ignored and an empty table stays empty.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model or train())  # some 100 trees of depth 4
+    shared = spark.sparkContext.broadcast(trees or model())  # some 100 trees of depth 4
 
     def run(batches):
         for batch in batches:
-            texts, trees, nodes = [], [], 0
+            texts, parsed, nodes = [], [], 0
             for page in batch.column(2).to_pylist():
-                trees.append(parse(page or ""))
-                nodes += len(trees[-1].tag)
+                parsed.append(parse(page or ""))
+                nodes += len(parsed[-1].tag)
                 if nodes > 20_000:
-                    texts += main_blocks(trees, shared.value)
-                    trees, nodes = [], 0
-            texts += main_blocks(trees, shared.value)
+                    texts += main_blocks(parsed, shared.value)
+                    parsed, nodes = [], 0
+            texts += main_blocks(parsed, shared.value)
             joined = ["\n".join(x) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.string()), pa.array([len(x) for x in joined], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -294,4 +328,5 @@ def extract(pages: DataFrame, model: boosting.Forest | None = None) -> DataFrame
     return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
-assert N_FEATURES  # the features' number is fixed by html_dom
+if __name__ == "__main__":
+    write()
