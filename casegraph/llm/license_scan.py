@@ -84,7 +84,7 @@ def _pin(df: DataFrame, **columns: Column) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Words of the text: A-Z lower-cased, split at ASCII characters other than letters and digits; null has none."""
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    bare = F.regexp_replace(lowered, f"^{SEPARATORS}|{SEPARATORS}$", "")
+    bare = F.regexp_replace(lowered, f"\\A{SEPARATORS}|{SEPARATORS}\\z", "")
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SEPARATORS))
 
 
