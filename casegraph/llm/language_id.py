@@ -12,7 +12,6 @@ bound is exact: the screen changes no result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,10 @@ MOST_LANGUAGES = 256
 #: Log-likelihood that a further language has to gain, plus PENALTY_RATE times the logarithm of the trigrams.
 PENALTY, PENALTY_RATE = 4.0, 2.0
 EM_ROUNDS, SMOOTHING = 40, 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters from which a text's trigrams are counted by bucket first, in parts of as many.
+LONG = 1 << 18
+#: Characters times languages that are looked at together.
+CELLS = 1_600_000
 _FOLD = np.uint32(0x9E3779B1)
 
 
@@ -41,7 +43,10 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Returns (codes, lengths), lengths with the two spaces.
     """
-    lowered = [f" {t.lower()} " for t in texts]
+    return _codes([f" {t.lower()} " for t in texts])
+
+
+def _codes(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     space = codes < 0x41
     space |= (codes > 0x5A) & (codes < 0x61)
@@ -50,23 +55,39 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(space, np.uint32(32), codes), np.array([len(t) for t in lowered], np.int64)
 
 
+def _hashed(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each trigram of codes."""
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    with np.errstate(over="ignore"):
+        mixed = (a * np.uint32(0x85EBCA6B) + b) * np.uint32(0xC2B2AE35) + c
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _FOLD
+    return (mixed >> np.uint32(32 - bits)).astype(np.int64)
+
+
 def trigrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, document) of each trigram within a document that isn't mostly space."""
     codes, lengths = text_codes(texts)
     owner = np.repeat(np.arange(len(texts)), lengths)
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    keep = (owner[:-2] == owner[2:]) & (b != 32)
-    with np.errstate(over="ignore"):
-        mixed = (a * np.uint32(0x85EBCA6B) + b) * np.uint32(0xC2B2AE35) + c
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= _FOLD
-    return (mixed[keep] >> np.uint32(32 - bits)).astype(np.int64), owner[:-2][keep]
+    keep = (owner[:-2] == owner[2:]) & (codes[1:-1] != 32)
+    return _hashed(codes, bits)[keep], owner[:-2][keep]
+
+
+def trigram_counts(text: str, bits: int = BUCKET_BITS, step: int = LONG) -> np.ndarray:
+    """How often each bucket has a trigram of one text; in parts, so memory doesn't grow with the text's trigrams."""
+    out = np.zeros(1 << bits, np.int64)
+    lowered = f" {text.lower()} "
+    for at in range(0, len(lowered) - 2, step):
+        codes, _ = _codes([lowered[at : at + step + 2]])
+        out += np.bincount(_hashed(codes, bits)[codes[1:-1] != 32], minlength=1 << bits)
+    return out
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """Whether a character is of a letter's category; fractions, superscripts and Roman numerals are numbers."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass(frozen=True)
@@ -103,8 +124,9 @@ def train(docs: DataFrame, train_when: Column, train_rows: int = TRAIN_ROWS, bit
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1).to_pylist()
             for x in set(langs.tolist()):
-                got, _ = trigrams([t for t, y in zip(texts, langs, strict=True) if y == x], bits)
-                sums[x] = sums.get(x, 0) + np.bincount(got, minlength=1 << bits)
+                mine = [t for t, y in zip(texts, langs, strict=True) if y == x]
+                got, _ = trigrams([t for t in mine if len(t) < LONG], bits)
+                sums[x] = sum((trigram_counts(t, bits) for t in mine if len(t) >= LONG), sums.get(x, 0) + np.bincount(got, minlength=1 << bits))
         for x, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -123,53 +145,65 @@ def train(docs: DataFrame, train_when: Column, train_rows: int = TRAIN_ROWS, bit
     return LanguageModel(languages, chance.astype(np.float32), bits)
 
 
-def _mixture(p: np.ndarray, chosen: list[int], rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray]:
+def _mixture(p: np.ndarray, weights: np.ndarray, chosen: list[int], rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray]:
     """(log-likelihood, proportions) of the languages `chosen` for trigrams of chances p [trigram, language]."""
     part = p[:, chosen].astype(np.float64)
     share = np.full(len(chosen), 1 / len(chosen))
     for _ in range(rounds):
         joint = part * share
-        new = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = weights @ (joint / joint.sum(axis=1, keepdims=True)) / weights.sum()
         if np.abs(new - share).max() < 1e-4:
             share = new
             break
         share = new
-    return float(np.log(part @ share).sum()), share
+    return float(weights @ np.log(part @ share)), share
 
 
 def infer(texts: list[str], model: LanguageModel) -> list[tuple[str, float, dict[str, float]]]:
     """For each text its main language, that language's proportion, and the proportions of the chosen set."""
     out: list[tuple[str, float, dict[str, float]]] = [(UNDETERMINED, 0.0, {})] * len(texts)
     live = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+    short = [i for i in live if len(texts[i]) < LONG]
+    bucket, owner = trigrams([texts[i] for i in short], model.bits)
+    _told(out, short, bucket, owner, np.ones(len(bucket)), model)
+    for i in live:
+        if len(texts[i]) >= LONG:
+            counts = trigram_counts(texts[i], model.bits)
+            bucket = np.flatnonzero(counts)
+            _told(out, [i], bucket, np.zeros(len(bucket), np.int64), counts[bucket].astype(np.float64), model)
+    return out
+
+
+def _told(out: list, live: list[int], bucket: np.ndarray, owner: np.ndarray, weights: np.ndarray, model: LanguageModel) -> None:
+    """Set `out` at the places `live`, of which `owner` numbers those that hold a trigram of `bucket`, `weights` times."""
     if not live:
-        return out
-    bucket, owner = trigrams([texts[i] for i in live], model.bits)
-    sizes = np.bincount(owner, minlength=len(live))
-    starts = np.cumsum(sizes) - sizes
+        return
+    rows = np.bincount(owner, minlength=len(live))
+    starts = np.cumsum(rows) - rows
+    sizes = np.bincount(owner, weights, len(live))
     p = model.chance[bucket]
     logs = np.log(p)
-    single = np.stack([np.bincount(owner, logs[:, k], len(live)) for k in range(len(model.languages))], axis=1)
+    single = np.stack([np.bincount(owner, weights * logs[:, k], len(live)) for k in range(len(model.languages))], axis=1)
     best = single.argmax(axis=1)
     own = np.take_along_axis(p, best[owner][:, None], axis=1)[:, 0]
-    slope = np.stack([np.bincount(owner, p[:, k] / own, len(live)) for k in range(len(model.languages))], axis=1) - sizes[:, None]
+    slope = np.stack([np.bincount(owner, weights * (p[:, k] / own), len(live)) for k in range(len(model.languages))], axis=1) - sizes[:, None]
     penalty = PENALTY + PENALTY_RATE * np.log(np.maximum(sizes, 1))
     for i, at in enumerate(live):
         chosen, share = [int(best[i])], np.ones(1)
         if slope[i].max() > penalty[i]:
-            mine = p[starts[i] : starts[i] + sizes[i]]
+            mine, w = (x[starts[i] : starts[i] + rows[i]] for x in (p, weights))
             now = float(single[i, best[i]])
             while len(chosen) < len(model.languages):
                 mixed = mine[:, chosen].astype(np.float64) @ share
-                gains = (mine / mixed[:, None]).sum(axis=0) - sizes[i]
+                gains = w @ (mine / mixed[:, None]) - sizes[i]
                 gains[chosen] = -np.inf
-                tried = [(*_mixture(mine, [*chosen, int(k)]), int(k)) for k in np.flatnonzero(gains > penalty[i])]
+                tried = [(*_mixture(mine, w, [*chosen, int(k)]), int(k)) for k in np.flatnonzero(gains > penalty[i])]
                 if not tried or (top := max(tried, key=lambda x: x[0]))[0] - now <= penalty[i]:
                     break
                 now, share, chosen = top[0], top[1], [*chosen, top[2]]
         shares = {model.languages[k]: float(x) for k, x in zip(chosen, share, strict=True)}
         main = max(shares, key=lambda x: (shares[x], x))
         out[at] = (main, min(1.0, shares[main]), shares)
-    return out
 
 
 def told_fields() -> list[T.StructField]:
@@ -192,10 +226,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             told: list = []
-            at = 0
-            while at < len(texts):  # a few hundred thousand characters at a time
+            at, most = 0, max(20_000, CELLS // max(1, len(shared.value.languages)))
+            while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to] or "") < 400_000):
+                while to < len(texts) and (to == at or size + len(texts[to] or "") < most):
                     size += len(texts[to] or "")
                     to += 1
                 told += infer(texts[at:to], shared.value)
