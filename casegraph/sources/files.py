@@ -44,13 +44,19 @@ def listed(paths: DataFrame) -> DataFrame:
     return rows.select(F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"), "path")
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length of the files right in `folder`, empty ones too (which Spark's readers leave out); no content is read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return spark.createDataFrame([(f.getPath().toString(), f.getLen()) for f in found if f.isFile()], "path string, length long")
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, path of the supported files right in `folder`, by path. No file's content is read.
+    """document_id, path of the supported files right in `folder`, by path.
 
     No such file, or two of one document id, is an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "[!.]*").load(f"{folder.rstrip('/')}/*").select("path")
-    found = listed(files)
+    found = listed(list_files(spark, folder))
     twice = found.groupBy("document_id").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise DuplicateDocument(f"{twice[0]['a']} and {twice[0]['b']} are both document {twice[0]['document_id']!r}")
@@ -68,11 +74,12 @@ def file_problem(path: Column, length: Column) -> Column:
     )
 
 
-def read_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """path, length, content, problem of files; the content of one with a problem is null."""
-    rows = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
-    problem = file_problem(F.col("path"), F.col("length"))
-    return rows.withColumn("problem", problem).withColumn("content", F.when(problem.isNull(), F.col("content")))
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length, content, problem of the files right in `folder`; the content of one with a problem isn't read."""
+    known = list_files(spark, folder)
+    known = known.withColumn("problem", file_problem(F.col("path"), F.col("length")))
+    content = spark.read.format("binaryFile").load(folder).where(F.col("length") <= MOST_MEGABYTES * 1024 * 1024).select("path", "content")
+    return known.join(content.join(known.where(F.col("problem").isNull()).select("path"), "path", "left_semi"), "path", "left").select("path", "length", "content", "problem")
 
 
 class Page(Protocol):
