@@ -9,7 +9,7 @@ A case is one row: its records take the square of their number in four-byte cell
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,47 +235,50 @@ def same_person(a: Column, b: Column, rules: Rules) -> Column:
     return strict_gate(rules)(agreement(a, b, rules.entity_resolution.dob_tolerance_years))
 
 
-def _one_pass(cases: DataFrame, rules: Rules, first: bool) -> DataFrame:
+@lru_cache(maxsize=8)
+def _pass_steps(rules: Rules, session: int) -> tuple[tuple[bool, dict[str, Column]], ...]:
+    """The columns of one pass, step by step, and whether a step's columns are kept after the pass.
+
+    Expressions name their inputs, so all passes and all tables use the same ones; building them takes many calls to the JVM of
+    `session`.
+    """
     strict, loose = strict_gate(rules), loose_gate(rules)
     col = F.col
     nobody = F.array().cast("array<int>")
+    steps: list[tuple[bool, dict[str, Column]]] = []
 
-    def put(df: DataFrame, **columns: Column) -> DataFrame:
-        """Pin columns; a later pass changes only cases in which the one before inferred something."""
-        return pin(df, **(columns if first else {n: F.when(col("changed"), c).otherwise(col(n)) for n, c in columns.items()}))
+    def put(**columns: Column) -> None:
+        steps.append((True, columns))
+
+    def put_for_now(**columns: Column) -> None:
+        steps.append((False, columns))
 
     def of(generation: str, kind: int) -> Column:
         """Places of the records of a kind, not empty, in certificates of a generation."""
         return F.filter("full", lambda i: F.coalesce(F.get(col("gens"), i) == generation, F.lit(False)) & (row_at(i)["kind"] == kind))
 
-    def put_for_now(df: DataFrame, **columns: Column) -> DataFrame:
-        """Pin columns that only this pass looks at."""
-        return pin(df, **(columns if first else {n: F.when(col("changed"), c) for n, c in columns.items()}))
-
     people = F.filter("full", lambda i: row_at(i)["kind"].isin(APPLICANT, HOLDER))
-    cases = put(cases, pool1=F.concat(people, of("G1", SUBJECT)))
-    cases = put(cases, g1=resolve(col("pool1"), loose, strict))
+    put(pool1=F.concat(people, of("G1", SUBJECT)))
+    put(g1=resolve(col("pool1"), loose, strict))
     known = resolved(col("g1"))
-    cases = put_for_now(
-        cases,
+    put_for_now(
         slot1=F.when(known, of("G1", PARENT_1)).otherwise(nobody), slot2=F.when(known, of("G1", PARENT_2)).otherwise(nobody),
         own2=of("G2", SUBJECT),
     )
-    cases = put_for_now(cases, own2_slots=F.when(known, F.transform("own2", _slot)).otherwise(F.transform("own2", lambda _: F.lit(0))))
+    put_for_now(own2_slots=F.when(known, F.transform("own2", _slot)).otherwise(F.transform("own2", lambda _: F.lit(0))))
     taken = lambda k: F.filter("own2", lambda i, at: F.get(col("own2_slots"), at) == k)
     # the third pool: subjects that fit no slot, or all of them where the applicant isn't known
-    cases = put(cases, pool2a=F.when(known, F.concat("slot1", taken(1))).otherwise(nobody), pool2b=F.when(known, F.concat("slot2", taken(2))).otherwise(nobody), pool2c=taken(0))
+    put(pool2a=F.when(known, F.concat("slot1", taken(1))).otherwise(nobody), pool2b=F.when(known, F.concat("slot2", taken(2))).otherwise(nobody), pool2c=taken(0))
     checked = lambda role: check_gap(col("g1"), role, rules)
     other = F.when(known, resolve(col("pool2c"), name_gate)).otherwise(resolve(col("pool2c"), loose, strict))
-    cases = put(cases, role2a=resolve(col("pool2a"), name_gate), role2b=resolve(col("pool2b"), name_gate), role2c=other)
+    put(role2a=resolve(col("pool2a"), name_gate), role2b=resolve(col("pool2b"), name_gate), role2c=other)
     several = F.concat(F.array(checked(col("role2a")), checked(col("role2b"))), F.when(F.size("pool2c") > 0, F.array(checked(col("role2c")))).otherwise(F.array().cast(f"array<{ROLE}>")))
-    cases = cases.drop("slot1", "slot2", "own2", "own2_slots")
-    cases = put(cases, candidates=F.when(known, several).otherwise(F.array(checked(col("role2c")))))
-    cases = put(cases, g2=F.when(known, collapse(col("candidates"))).otherwise(F.get(col("candidates"), F.lit(0))))
+    put(candidates=F.when(known, several).otherwise(F.array(checked(col("role2c")))))
+    put(g2=F.when(known, collapse(col("candidates"))).otherwise(F.get(col("candidates"), F.lit(0))))
     parents = F.when(resolved(col("g2")), F.filter("full", lambda i: F.coalesce(F.get(col("gens"), i) == "G2", F.lit(False)) & row_at(i)["kind"].isin(PARENT_1, PARENT_2))).otherwise(nobody)
-    cases = put(cases, pool3=F.concat(parents, of("G3", SUBJECT)))
-    cases = put(cases, g3=resolve(col("pool3"), loose, strict))
-    cases = put(cases, g3=check_gap(col("g2"), col("g3"), rules))
+    put(pool3=F.concat(parents, of("G3", SUBJECT)))
+    put(g3=resolve(col("pool3"), loose, strict))
+    put(g3=check_gap(col("g2"), col("g3"), rules))
 
     second = lambda r, p: F.when(known, fuzzy(r, p)).otherwise(same_person(r, p, rules))
     is_second = lambda r: F.exists(col("candidates"), lambda c: resolved(c) & second(r, c["person"]))
@@ -291,13 +294,25 @@ def _one_pass(cases: DataFrame, rules: Rules, first: bool) -> DataFrame:
             F.when(row_at(i)["untagged"] & ~is_empty(row_at(i)), F.coalesce(told(row_at(i)), F.get(col("gens"), i))).otherwise(F.get(col("gens"), i)).alias("gen"),
         ),
     )
-    cases = put_for_now(cases, next=inferred)
+    put_for_now(next=inferred)
     # the whole certificate is of its subject's generation
     gen_of = lambda r: F.get(F.filter("next", lambda x: x["doc"] == r["doc"]), F.lit(0))["gen"]
     moved = F.transform("rows", lambda r, i: F.when(r["kind"] >= SUBJECT, gen_of(r)).otherwise(F.get(col("gens"), i)))
-    cases = put_for_now(cases, moved=moved)
-    changed = ~col("gens").eqNullSafe(col("moved")) & (F.lit(True) if first else col("changed"))
-    return pin(cases, changed=changed, gens=F.when(changed, col("moved")).otherwise(col("gens"))).drop("next", "moved")
+    put_for_now(moved=moved)
+    return tuple(steps)
+
+
+def _one_pass(cases: DataFrame, rules: Rules, first: bool) -> DataFrame:
+    """One pass over all cases; a later one changes only cases in which the one before inferred something."""
+    now: list[str] = []
+    again = F.col("changed")
+    for kept, columns in _pass_steps(rules, id(cases.sparkSession._jvm)):
+        if not first:
+            columns = {n: F.when(again, c).otherwise(F.col(n)) if kept else F.when(again, c) for n, c in columns.items()}
+        cases = pin(cases, **columns)
+        now += () if kept else columns
+    changed = ~F.col("gens").eqNullSafe(F.col("moved")) & (F.lit(True) if first else again)
+    return pin(cases, changed=changed, gens=F.when(changed, F.col("moved")).otherwise(F.col("gens"))).drop(*now)
 
 
 def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -13,4 +13,4 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     the whole expression again. No shuffle, one row for each row.
     """
     held = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_pinned"))
-    return held.select(*(c for c in df.columns if c not in columns), *(F.col(f"_pinned.{n}").alias(n) for n in columns))
+    return held.withColumns({n: F.col(f"_pinned.{n}") for n in columns}).drop("_pinned")

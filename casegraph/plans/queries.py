@@ -11,6 +11,7 @@ from casegraph.config import Rules
 from casegraph.functions.dates import generation_gap, parse_date, within_years, years_between
 from casegraph.functions.text import clean_text, doc_numbers_match, fold_doc_number, fold_name, fold_nationality, fuzzy_folded, strip_page_headers
 from casegraph.operators import adapter, decision, replies, report, status
+from casegraph.plans import records
 from casegraph.sources import derived
 
 STAGE = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'RECEIVED' ELSE 'OCR_DONE' END"
@@ -164,8 +165,8 @@ d AS (
   FROM o)"""
 MISSING_FIELDS = f"""WITH {_CASES}
 SELECT case_id, document_id, document_type, CASE WHEN document_type = 'BIRTH_CERT' AND NOT (v = 9 AND k IN (2, 5)) THEN 'G' || ((k - 2) % 3 + 1) END AS generation,
-  CASE WHEN k = 0 THEN concat_ws(',', 'apellido_madre_', CASE WHEN v = 3 THEN 'fecha_presentacion' END) ELSE '' END AS missing,
-  CASE WHEN k = 0 AND v <> 3 THEN '01/Octubre/2025' END AS filed, CASE WHEN document_type = 'BIRTH_CERT' THEN true END AS sealed FROM d""".replace("'apellido_madre_', ", "")
+  CASE WHEN k = 0 AND v = 3 THEN 'fecha_presentacion' ELSE '' END AS missing,
+  CASE WHEN k = 0 AND v <> 3 THEN '01/Octubre/2025' END AS filed, CASE WHEN document_type = 'BIRTH_CERT' THEN true END AS sealed FROM d"""
 
 
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +257,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "checklist": (checklist, CHECKLIST),
     "inventory": (inventory, INVENTORY),
     "case_meta": (case_meta, CASE_META),
+    **records.ALL,
 }
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from casegraph.plans import queries as plans
 
-TABLES = ("events", "orders", "documents")
+TABLES = ("events", "orders", "documents", "pages")
 
 
 def _rows(columns, rows):
