@@ -202,8 +202,9 @@ def _plain(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
     """Fit on a sample of about `labelled_rows` labelled rows and a pool of about `pool_rows` others, chosen by hash.
 
-    `docs` has doc_id, text, source, lang; `labels` has doc_id, quality (0 or 1; null rows aren't used; of several
-    labels of an id the smallest holds). None where one of the two classes has no row.
+    At most about twice as many labelled rows are taken, where ids are shared; equal rows count once. `docs` has doc_id,
+    text, source, lang; `labels` has doc_id, quality (0 or 1; null rows aren't used; of several labels of an id the
+    smallest holds). None where one of the two classes has no row.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
@@ -214,11 +215,20 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     n_known = sum(sizes.values())
     # the ids are chosen first: only the chosen rows' texts are moved or read by Python
     some = known.where(at < ((labelled_rows << 30) // n_known + 1))
-    rows = _plain(docs).join(F.broadcast(some), "doc_id")
-    n_rest = docs.select(F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id", "left_anti").count()
-    # by a hash of its own: the labelled sample holds the smallest of the other
-    rest = _plain(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < ((pool_rows << 30) // max(1, n_rest) + 1)).join(some, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
-    got = _featured(rows).unionAll(_featured(rest)).toPandas()
+    ids = docs.select(F.col("doc_id").cast("long"))
+    n_some = ids.join(F.broadcast(some), "doc_id").count()
+    n_rest = ids.join(F.broadcast(some), "doc_id", "left_anti").count()
+
+    def sample(rows: DataFrame, most: int, of: int, seed: int) -> DataFrame:
+        """About `most` of `of` rows, by a hash of the whole row, so that an id that many rows share doesn't come whole; equal rows once."""
+        row_at = F.pmod(F.xxhash64("doc_id", "text", "source", "lang", F.lit(seed)), F.lit(1 << 30))
+        return rows.where(row_at < (most << 30) // max(1, of) + 1).distinct()
+
+    rows = sample(_plain(docs).join(F.broadcast(some), "doc_id"), 2 * labelled_rows, n_some, 12)
+    rest = sample(_plain(docs), pool_rows, n_rest, 11).join(F.broadcast(some), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    got = _featured(rows.select("y", "text", "source", "lang")).unionAll(_featured(rest)).toPandas()
+    if got["y"].nunique() < 2:
+        return None
     got = got.sort_values(["y", "content", "metadata"], kind="stable", ignore_index=True)
     content, metadata = (np.frombuffer(b"".join(got[c]), "<f4").reshape(len(got), -1).astype(np.float64) for c in ("content", "metadata"))
     y = got["y"].to_numpy(np.float64)
