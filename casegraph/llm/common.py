@@ -9,10 +9,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; keeps a batch of long texts within a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = "32m"
+#: Rows that are sent to every executor, at most, and the share of all rows that makes a key hot: fewer than HOT keys are.
+BROADCAST_ROWS, HOT = 100_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +62,28 @@ def drop(spark: SparkSession, path: str) -> None:
 def salts(spark: SparkSession) -> int:
     """Into how many parts a hot key is split: as many as the shuffle has partitions, 16 at least."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:
+    """rows with the columns of `totals` for their value of `key` (null is a value), null where `totals` hasn't it.
+
+    `totals` has one row a key, with `n`, how many of `rows` have it. If it is small it goes to every executor. Else only
+    the hot keys' do, of which there are fewer than HOT, as each has more than one in HOT of all rows; the other rows meet
+    theirs in a shuffle in which no key has more than that.
+    """
+    spark = rows.sparkSession
+    totals, path = stash(totals, "totals")
+    value = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-"))
+    more = [c for c in totals.columns if c not in (key, "n")]
+    totals = totals.select(value.alias("_key"), F.col("n").alias("_n"), *more)
+    rows = rows.withColumn("_key", value)
+    if totals.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(totals), "_key", "left").drop("_key", "_n")
+    n_rows = totals.agg(F.sum("_n")).first()[0] if n_rows is None else n_rows
+    hot = totals.where(F.col("_n") * HOT > n_rows)
+    rest = totals.where(F.col("_n") * HOT <= n_rows)
+    near = F.broadcast(hot.select("_key", "_n", *(F.col(c).alias(f"_hot_{c}") for c in more)))
+    rows = rows.join(near, "_key", "left")
+    spread = F.when(F.col("_n").isNull(), F.col("_key")).otherwise(F.concat(F.lit("~"), F.xxhash64(*(c for c in rows.columns if not c.startswith("_"))).cast("string")))
+    rows = rows.drop("_n").withColumn("_key", spread).join(rest.drop("_n"), "_key", "left")
+    return rows.select(*(c for c in rows.columns if not c.startswith("_hot_") and c not in more and c != "_key"), *(F.coalesce(f"_hot_{c}", c).alias(c) for c in more))

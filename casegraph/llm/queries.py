@@ -114,6 +114,71 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.vector_codes import digest, encode
+
+    return digest(encode(table(spark, sf_dir, "embeddings")))
+
+
+_VECTORS = """
+  SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS r FROM (
+    SELECT *, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{more})"""
+
+
+def _floor(total: str, n: str) -> str:
+    return f"CAST(({total} - (({total} % {n}) + {n}) % {n}) // {n} AS BIGINT)"
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (
+  SELECT r, p, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM t JOIN b{k} USING (p, i) GROUP BY r, p, k),
+a{k} AS MATERIALIZED (SELECT r, p, min(d) AS d, min(k) FILTER (d = m) AS k FROM (SELECT *, min(d) OVER (PARTITION BY r, p) AS m FROM d{k}) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT p, k, i, count(*) AS n, sum(x) AS s FROM t JOIN a{k} USING (r, p) GROUP BY p, k, i),
+b{k + 1} AS MATERIALIZED (
+  SELECT p, k, i, CASE WHEN n IS NULL THEN c ELSE {_floor("s", "n")} END AS c FROM b{k} LEFT JOIN s{k} USING (p, k, i))""")
+    return f"""
+WITH v AS MATERIALIZED ({_VECTORS.format(order="vec_id, e", scale=256, more="")}),
+u AS (SELECT r, unnest(range(len(e))) AS q, len(e) // 16 AS w, unnest(e) AS x FROM v),
+t AS MATERIALIZED (SELECT r, q // w AS p, q % w AS i, x FROM u),
+b0 AS (SELECT p, r AS k, i, x AS c FROM t WHERE r < 64),
+{", ".join(steps)},
+o AS (SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, k, i)) FROM b{rounds}) AS codebooks_sha256
+FROM o JOIN v USING (r)
+"""
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.clustering import cluster, digest
+
+    return digest(cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT r, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM t JOIN c{k} USING (i) GROUP BY r, k),
+a{k} AS MATERIALIZED (SELECT r, min(d) AS d, min(k) FILTER (d = m) AS k FROM (SELECT *, min(d) OVER (PARTITION BY r) AS m FROM d{k}) GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT k, i, count(*) AS n, sum(x) AS s FROM t JOIN a{k} USING (r) GROUP BY k, i),
+c{k + 1} AS MATERIALIZED (SELECT k, i, CASE WHEN n IS NULL THEN c ELSE {_floor("s", "n")} END AS c FROM c{k} LEFT JOIN s{k} USING (k, i))""")
+    return f"""
+WITH v AS MATERIALIZED ({_VECTORS.format(order="sha256('3:' || vec_id), e", scale=1024, more=" AND len(embedding) = 64")}),
+t AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(e) AS x FROM v),
+c0 AS (SELECT r AS k, i, x AS c FROM t WHERE r < 8),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN h USING (k)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -126,8 +191,10 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_simhash_golay": op9_simhash_golay,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_centroid_clusters": op12_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op7_chat_formatting": OP7_SQL, "op11_vector_codes": _op11_sql(), "op12_centroid_clusters": _op12_sql()}
