@@ -179,6 +179,26 @@ FROM a{rounds} JOIN v USING (r) JOIN h USING (k)
 """
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegraph.llm.warc import page_records, write_packages
+
+    return page_records(write_packages(table(spark, sf_dir, "pages")))
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS kept FROM p),
+b AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', h[i + 1]) - 1) AS x FROM w),
+-- eight base32 digits from five bytes, ten hexadecimal digits
+n AS (SELECT *, list_transform(range(4), lambda k: list_reduce(x[10 * k + 1 : 10 * k + 10], lambda a, d: 16 * a + d)) AS g FROM b)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((g[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM n
+"""
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -193,8 +213,15 @@ def queries() -> dict:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_vector_codes": op11_vector_codes,
         "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op7_chat_formatting": OP7_SQL, "op11_vector_codes": _op11_sql(), "op12_centroid_clusters": _op12_sql()}
+    return {
+        "op2_exact_topk": OP2_SQL,
+        "op7_chat_formatting": OP7_SQL,
+        "op11_vector_codes": _op11_sql(),
+        "op12_centroid_clusters": _op12_sql(),
+        "op13_warc": OP13_SQL,
+    }
