@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 # What models leave in transcriptions, and page headers. Java's $ takes only \n for a line end under (?d).
 IMAGE_LINK = r"!\[[^\]]*\]\([^)]*\)"
@@ -132,12 +132,6 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(fold(x), fold(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def similarity_matrix(rows: pd.Series, columns: pd.Series) -> pd.Series:
-    """Row by row similarities of two arrays of folded names."""
-    return pd.Series([[similarity(a, b) for a in x for b in y] for x, y in zip(rows, columns, strict=True)])
-
-
 def same_folded(a: Column, b: Column) -> Column:
     """Equal and not empty."""
     return F.coalesce((a != "") & (a == b), F.lit(False))

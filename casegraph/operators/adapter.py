@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.functions.text import clean_text, normalize_label, strip_white, truthy
-from casegraph.operators.pins import pin
+from casegraph.functions.text import clean_text
+from casegraph.functions import sql
+from casegraph.functions.pins import pin
 from casegraph.schemas import CERTIFICADO, FORM_MAPS, IDENTIDAD, SOLICITUD, struct_ddl
 
 
@@ -21,59 +22,36 @@ def anexo_variant(text: Column) -> Column:
     return F.when(has("ANEXOIV") | has("ANEXOIII"), "ANEXO_III_IV").when(has("ANEXOI"), "ANEXO_I")
 
 
-def _map_of(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
-
-
-def _names(attributes) -> Column:
-    return F.array(*map(F.lit, attributes)).cast("array<string>")
-
-
-_ENTRIES = "array<struct<k:string,v:string>>"
-
-
-def with_form_attributes(docs: DataFrame, acroform: str, xfa: str, variant: str, name: str, when: Column) -> DataFrame:
-    """`docs` with map `name` of attribute → text of form fields, null where `when` isn't met.
+def with_form_attributes(docs: DataFrame, acroform: str, xfa: str, variant: str, name: str, when: str) -> DataFrame:
+    """`docs` with map `name` of attribute → text of form fields, null where the condition `when` isn't met.
 
     Fields are named by the template's places, else by printed label; later fields win, and XFA fields come after
     AcroForm ones of other names and replace those of the same.
     """
-    empty = F.create_map().cast("map<string,string>")
-    a, x = F.coalesce(F.col(acroform), empty), F.coalesce(F.col(xfa), empty)
-    by_label = _map_of({" ".join(v.lower().split()): k for k, v in SOLICITUD.items()})
-
-    def attribute(k: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(None).cast("string"))
-        for form, table in FORM_MAPS.items():
-            out = out.when(F.col(variant) == form, F.element_at(_map_of(table), k))
-        return F.coalesce(out, F.element_at(by_label, normalize_label(k)))
-
+    put = lambda df, **columns: pin(df, **{n: F.expr(text) for n, text in columns.items()})
+    empty = "cast(map() as map<string,string>)"
+    docs = put(docs, _forms=f"if({when}, named_struct('a', coalesce({acroform}, {empty}), 'x', coalesce({xfa}, {empty})), null)")
     # the order of one dictionary: AcroForm's keys with XFA's values where it has them, then XFA's other keys
-    docs = pin(docs, _forms=F.when(when, F.struct(a.alias("a"), x.alias("x"))))
-    a, x = F.col("_forms.a"), F.col("_forms.x")
-    merged = F.concat(
-        F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("k"), F.when(F.map_contains_key(x, e["key"]), F.element_at(x, e["key"])).otherwise(e["value"]).alias("v"))),
-        F.filter(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), lambda e: ~F.map_contains_key(a, e["k"])),
-    )
-    docs = pin(docs, _named=F.filter(F.transform(merged, lambda e: F.struct(attribute(e["k"]).alias("k"), e["v"].alias("v"))), lambda e: e["k"].isNotNull()))
-    field = lambda k: F.coalesce(F.element_at(x, F.lit(k)), F.element_at(a, F.lit(k)))
-    filled = lambda c: F.coalesce(strip_white(c) != "", F.lit(False))
-    signed = F.col(variant) == "ANEXO_III_IV"
-    entry = lambda k, v: F.array(F.struct(F.lit(k).alias("k"), v.alias("v")))
-    none = F.array().cast(_ENTRIES)
-    place = F.when(signed & filled(field("En")), entry("lugar_presentacion", field("En"))).otherwise(none)
-    dated = F.when(signed & filled(field("a")) & filled(field("de")) & filled(field("de-0")), entry("fecha_presentacion", F.concat_ws("/", field("a"), field("de"), field("de-0")))).otherwise(none)
-    docs = pin(docs, _every=F.reverse(F.concat("_named", place, dated)))
+    of_a = "transform(map_entries(_forms.a), e -> named_struct('k', e.key, 'v', if(map_contains_key(_forms.x, e.key), _forms.x[e.key], e.value)))"
+    of_x = "transform(filter(map_entries(_forms.x), e -> not map_contains_key(_forms.a, e.key)), e -> named_struct('k', e.key, 'v', e.value))"
+    by_label = sql.text_map({" ".join(v.lower().split()): k for k, v in SOLICITUD.items()})
+    label = f"lower({sql.stripped(r"regexp_replace(e.k, r'(?U)\s+', ' ')")})"
+    by_place = sql.case(*((f"{variant} = {sql.quoted(form)}", f"{sql.text_map(places)}[e.k]") for form, places in FORM_MAPS.items()))
+    docs = put(docs, _named=f"filter(transform(concat({of_a}, {of_x}), e -> named_struct('k', coalesce({by_place}, {by_label}[{label}]), 'v', e.v)), e -> e.k is not null)")
+    field = lambda k: f"coalesce(_forms.x[{sql.quoted(k)}], _forms.a[{sql.quoted(k)}])"
+    entry = lambda k, condition, v: f"if({variant} = 'ANEXO_III_IV' and {condition}, array(named_struct('k', '{k}', 'v', {v})), array())"
+    place = entry("lugar_presentacion", sql.filled(field("En")), field("En"))
+    days = [field(k) for k in ("a", "de", "de-0")]
+    dated = entry("fecha_presentacion", " and ".join(map(sql.filled, days)), f"concat_ws('/', {', '.join(days)})")
     # backwards, so that the first entry of an attribute is its last
-    keys = F.transform("_every", lambda e: e["k"])
-    docs = pin(docs, _keys=F.array_distinct(keys), _all=keys)
-    value = lambda k: F.get(F.col("_every"), (F.array_position("_all", k) - 1).cast("int"))["v"]
-    found = F.map_from_arrays(F.reverse("_keys"), F.reverse(F.transform("_keys", value)))
-    return docs.withColumn(name, found).drop("_forms", "_named", "_every", "_keys", "_all")
+    docs = put(docs, _every=f"reverse(concat(_named, {place}, {dated}))")
+    docs = put(docs, _all="transform(_every, e -> e.k)", _keys="array_distinct(transform(_every, e -> e.k))")
+    found = "map_from_arrays(reverse(_keys), reverse(transform(_keys, k -> _every[int(array_position(_all, k)) - 1].v)))"
+    return put(docs, **{name: found}).drop("_forms", "_named", "_every", "_keys", "_all")
 
 
-def _struct(found: Column, attributes: dict[str, str], flags: dict[str, Column]) -> Column:
-    return F.struct(*(flags.get(a, F.element_at(found, F.lit(a))).alias(a) for a in attributes))
+def _struct(found: str, attributes: dict[str, str], flags: dict[str, str]) -> str:
+    return f"cast({sql.struct({a: flags.get(a, f'{found}[{sql.quoted(a)}]') for a in attributes})} as {struct_ddl(attributes)})"
 
 
 def canonical_documents(extractions: DataFrame) -> DataFrame:
@@ -84,35 +62,30 @@ def canonical_documents(extractions: DataFrame) -> DataFrame:
     those of its kind, the missing ones listed in the kind's order; a false signature or apostille is missing.
     """
     text = clean_text(F.coalesce(F.col("extraction.extracted_text"), F.lit("")))
-    docs = extractions.withColumn("normalized_text", text)
-    kind = F.coalesce(F.col("classification.document_type"), F.lit("OTHER"))
-    docs = docs.select(
-        "case_id", "document_id", "source_file", kind.alias("document_type"), F.col("classification.generation").alias("generation"), "normalized_text",
-        F.col("classification").isNull().alias("_unknown"), F.col("extraction.acroform_fields").alias("_a"), F.col("extraction.xfa_fields").alias("_x"), F.col("field_extraction.fields").alias("_f"),
+    docs = extractions.withColumn("normalized_text", text).selectExpr(
+        "case_id", "document_id", "source_file", "coalesce(classification.document_type, 'OTHER') as document_type", "classification.generation as generation", "normalized_text",
+        "classification is null as _unknown", "extraction.acroform_fields as _a", "extraction.xfa_fields as _x", "field_extraction.fields as _f",
     )
     docs = pin(docs, _variant=F.when(F.col("document_type") == "APPLICATION", anexo_variant(F.col("normalized_text"))))
-    docs = with_form_attributes(docs, "_a", "_x", "_variant", "_form", F.col("document_type") == "APPLICATION")
-    docs = pin(docs, _form=F.col("_form"))
-    form, found = F.col("_form"), F.col("_f")
-    signed = F.coalesce(strip_white(F.element_at(form, F.lit("firma"))) != "", F.lit(False))
-    sealed = truthy(F.element_at(found, F.lit("apostillado")))
-    is_ = lambda k: F.col("document_type") == k
-    absent = lambda attributes, has: F.array_except(_names(attributes), F.coalesce(has, F.array().cast("array<string>")))
-    without = lambda keys, flag, good: F.when(good, keys).otherwise(F.array_remove(keys, flag))
-    missing = (
-        F.when(F.col("_unknown"), _names(("document_type", "generation")))
-        .when(is_("APPLICATION"), absent(SOLICITUD, without(F.map_keys(form), "firma", signed)))
-        .when(is_("ID_DOCUMENT"), absent(IDENTIDAD, F.map_keys(found)))
-        .when(is_("BIRTH_CERT"), absent(CERTIFICADO, without(F.map_keys(found), "apostillado", sealed)))
-        .otherwise(_names(()))
+    docs = with_form_attributes(docs, "_a", "_x", "_variant", "_form", "document_type = 'APPLICATION'")
+    signed, sealed = sql.filled("_form['firma']"), sql.truthy("_f['apostillado']")
+    is_ = lambda k: f"document_type = '{k}'"
+    absent = lambda attributes, has: f"array_except({sql.texts(attributes)}, coalesce({has}, array()))"
+    without = lambda keys, flag, good: f"if({good}, {keys}, array_remove({keys}, '{flag}'))"
+    missing = sql.case(
+        ("_unknown", sql.texts(("document_type", "generation"))),
+        (is_("APPLICATION"), absent(SOLICITUD, without("map_keys(_form)", "firma", signed))),
+        (is_("ID_DOCUMENT"), absent(IDENTIDAD, "map_keys(_f)")),
+        (is_("BIRTH_CERT"), absent(CERTIFICADO, without("map_keys(_f)", "apostillado", sealed))),
+        other=sql.texts(()),
     )
-    return docs.select(
-        "case_id", "document_id", "source_file", "document_type", "generation",
-        F.when(is_("APPLICATION"), _struct(form, SOLICITUD, {"firma": signed})).cast(struct_ddl(SOLICITUD)).alias("solicitud"),
-        F.when(is_("ID_DOCUMENT") & found.isNotNull(), _struct(found, IDENTIDAD, {})).cast(struct_ddl(IDENTIDAD)).alias("identidad"),
-        F.when(is_("BIRTH_CERT") & found.isNotNull(), _struct(found, CERTIFICADO, {"apostillado": sealed})).cast(struct_ddl(CERTIFICADO)).alias("certificado"),
-        missing.alias("missing_fields"), "normalized_text",
-    )
+    kinds = {
+        "solicitud": (is_("APPLICATION"), _struct("_form", SOLICITUD, {"firma": signed})),
+        "identidad": (f"{is_('ID_DOCUMENT')} and _f is not null", _struct("_f", IDENTIDAD, {})),
+        "certificado": (f"{is_('BIRTH_CERT')} and _f is not null", _struct("_f", CERTIFICADO, {"apostillado": sealed})),
+    }
+    told = (f"{sql.case(pair)} as {name}" for name, pair in kinds.items())
+    return docs.selectExpr("case_id", "document_id", "source_file", "document_type", "generation", *told, f"{missing} as missing_fields", "normalized_text")
 
 
 def missing_extractions(status: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -130,14 +103,10 @@ def case_documents(status: DataFrame, extractions: DataFrame, check: bool = True
 
 def populated_fields(docs: DataFrame) -> DataFrame:
     """case_id, document_id, fields: attributes that are neither null nor empty; a false flag counts."""
-    of = lambda s, attributes: F.filter(F.array(*(F.when(F.col(f"{s}.{a}").cast("string") != "", F.lit(a)) for a in attributes)), lambda x: x.isNotNull())
-    fields = (
-        F.when(F.col("solicitud").isNotNull(), of("solicitud", SOLICITUD))
-        .when(F.col("identidad").isNotNull(), of("identidad", IDENTIDAD))
-        .when(F.col("certificado").isNotNull(), of("certificado", CERTIFICADO))
-        .otherwise(_names(()))
-    )
-    return docs.select("case_id", "document_id", fields.alias("fields"))
+    kinds = {"solicitud": SOLICITUD, "identidad": IDENTIDAD, "certificado": CERTIFICADO}
+    of = lambda s, attributes: f"array_compact(array({', '.join(f"if(string({s}.{a}) <> '', '{a}', null)" for a in attributes)}))"
+    fields = sql.case(*((f"{s} is not null", of(s, attributes)) for s, attributes in kinds.items()), other=sql.texts(()))
+    return docs.selectExpr("case_id", "document_id", f"{fields} as fields")
 
 
 def first_application(docs: DataFrame) -> DataFrame:

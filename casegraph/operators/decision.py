@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.config import Expected, Rules
-from casegraph.functions.dates import expired, parse_date
-from casegraph.operators.lineage import ROLE, _flags, _role, resolve_lineage
-from casegraph.operators.pins import pin
+from casegraph.functions.dates import expired, with_dates
+from casegraph.operators.lineage import NOBODY, resolve_lineage
+from casegraph.functions.pins import pin
 
 MIN_DOCUMENTS = 2
 # The sentences that go with a verdict.
@@ -22,6 +22,10 @@ WEAK = "Corroboración insuficiente (<2 documentos) para: "
 _STRINGS = "array<string>"
 
 
+def _flags(*pairs: tuple[str, Column]) -> Column:
+    return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in pairs)), lambda x: x.isNotNull())
+
+
 def document_flags(missing: Column, expiry: Column, reference: Column) -> Column:
     """Flags of one document: something missing; expired, if there is a day to judge by."""
     return _flags(("DOCUMENT_INCOMPLETE", F.size(missing) > 0), ("DOCUMENTO_VENCIDO", expired(expiry, reference)))
@@ -66,8 +70,9 @@ def verdicts(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     lineage = resolve_lineage(docs, rules)
     dated = docs.select(
         "case_id", "document_id", "document_type", "generation", "missing_fields",
-        parse_date(F.col("identidad.fecha_vencimiento")).alias("expiry"), parse_date(F.col("solicitud.fecha_presentacion")).alias("filed"),
+        F.col("identidad.fecha_vencimiento").alias("_expiry"), F.col("solicitud.fecha_presentacion").alias("_filed"),
     )
+    dated = with_dates(dated, expiry="_expiry", filed="_filed").drop("_expiry", "_filed")
     cases = dated.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*(c for c in dated.columns if c != "case_id")))).alias("docs"))
     application = F.get(F.filter(F.col("docs"), lambda d: d["document_type"] == "APPLICATION"), F.lit(0))
     cases = pin(cases, application=application)
@@ -75,7 +80,7 @@ def verdicts(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     cases = pin(cases.join(lineage, "case_id", "left"), reference=reference)
     none = F.create_map().cast("map<string,string>")
     cases = cases.withColumns(
-        {g: F.coalesce(F.col(g), _role(False)).cast(ROLE) for g in ("g1", "g2", "g3")}
+        {g: F.coalesce(F.col(g), F.expr(NOBODY)) for g in ("g1", "g2", "g3")}
         | {"crossed": F.coalesce("crossed", F.lit(False)), "inferred": F.coalesce("inferred", none), "flags": F.coalesce("flags", F.array().cast(_STRINGS))}
     )
     judged = F.transform(

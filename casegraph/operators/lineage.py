@@ -1,23 +1,34 @@
 """A family of three generations from the documents of each case.
 
-One shuffle brings a case's person records together in an array; all that follows is a narrow projection over it. Whether
-a pool of records is one person is a question of connectivity only, so no component ids are needed.
+One shuffle brings a case's person records together; what follows is a narrow projection over them, written as SQL text.
+Who of a pool is one person is told in Arrow batches, by blocking (functions.people). An untagged certificate that turns out to be of a
+generation may unlock the next one, so the projection is repeated, for the cases alone in which the pass before found one:
+each pass is written to the shared folder, and passes end when no case has changed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.config import Rules
-from casegraph.functions.dates import generation_gap, within_years
-from casegraph.functions.text import same_folded, similarity_matrix, truthy
-from casegraph.operators.pins import pin
-from casegraph.operators.records import APPLICANT, HOLDER, PARENT_1, PARENT_2, SUBJECT, is_empty, person_records
+from casegraph.functions import people
+from casegraph.functions.dates import within_years
+from casegraph.functions.pins import pin
+from casegraph.functions.text import same_folded
+from casegraph.operators.records import RECORD, person_records
+from casegraph.sources.shared import stash
 
 #: At most one more generation becomes known in each pass.
 PASSES = 3
-_STRINGS = "array<string>"
+#: person, rejected, ambiguous, flags, documents, and `persons`: how many the records were told to be; there is a person if one.
+ROLE = people.ROLE.simpleString()
+_CERTIFICATE = f"struct<doc:string,gen:string,tagged:boolean,own:{RECORD},p1:{RECORD},p2:{RECORD}>"
+_NO_RECORDS = f"cast(array() as array<{RECORD}>)"
+#: The role of nobody.
+NOBODY = f"cast(named_struct('person', null, 'rejected', false, 'ambiguous', false, 'flags', array(), 'documents', array(), 'persons', 0) as {ROLE})"
 
 
 def fuzzy(a: Column, b: Column) -> Column:
@@ -32,241 +43,135 @@ def match_score(a: Column, b: Column, tolerance: int) -> Column:
     return fuzzy(a, b).cast("int") + within_years(a["born"], b["born"], tolerance).cast("int") + same_folded(a["fnum"], b["fnum"]).cast("int")
 
 
-def strict_gate(rules: Rules):
-    er = rules.entity_resolution
-    return lambda a, b: match_score(a, b, er.dob_tolerance_years) >= er.min_criteria
-
-
-def loose_gate(rules: Rules):
-    """The strict gate, or the name alone where a birth date is missing."""
-    strict = strict_gate(rules)
-    return lambda a, b: strict(a, b) | (fuzzy(a, b) & (a["born"].isNull() | b["born"].isNull()))
-
-
-def connected(pool: Column, gate) -> Column:
-    """Whether the records of a pool hang together by `gate`; true for an empty one.
-
-    Grows the set of reached places from the first until it stays the same, so a pool costs its diameter times its
-    square; the pool of a case is small.
-    """
-    places = F.sequence(F.lit(0), F.size(pool) - 1)
-    start = F.struct(F.array(F.lit(0)).alias("seen"), F.lit(False).alias("done"))
-
-    def grow(state: Column, _: Column) -> Column:
-        more = F.filter(places, lambda i: F.array_contains(state["seen"], i) | F.exists(state["seen"], lambda j: gate(F.get(pool, i), F.get(pool, j))))
-        return F.when(state["done"], state).otherwise(F.struct(more.alias("seen"), (F.size(more) == F.size(state["seen"])).alias("done")))
-
-    reached = F.aggregate(places, start, grow, lambda s: F.size(s["seen"]))
-    return F.when(F.size(pool) <= 1, F.lit(True)).otherwise(reached == F.size(pool))
-
+# --- SQL texts --------------------------------------------------------------------------------------------------------
 
-def some_pair(pool: Column, condition) -> Column:
-    """Whether `condition` holds for two different records, each pair taken once, in order."""
-    return F.coalesce(F.exists(pool, lambda a: F.exists(pool, lambda b: (a["ord"] < b["ord"]) & condition(a, b))), F.lit(False))
 
+def _fuzzy(a: str, b: str) -> str:
+    return f"coalesce({a}.fname <> '' and {b}.fname <> '' and (size(array_except({a}.words, {b}.words)) = 0 or size(array_except({b}.words, {a}.words)) = 0), false)"
 
-def _several(pool: Column, present, value) -> Column:
-    return F.size(F.array_distinct(F.transform(F.filter(pool, present), value))) > 1
 
+def _years(a: str, b: str) -> str:
+    """Whole years between two dates, in either order."""
+    early, late = f"least({a}, {b})", f"greatest({a}, {b})"
+    return f"(year({late}) - year({early}) - if(month({late}) * 100 + day({late}) >= month({early}) * 100 + day({early}), 0, 1))"
 
-def _first(pool: Column, field: str) -> Column:
-    return F.get(F.filter(pool, lambda r: truthy(r[field])), F.lit(0))
-
-
-def _flags(*pairs: tuple[str, Column]) -> Column:
-    return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in pairs)), lambda x: x.isNotNull())
-
-
-def name_conflict(pool: Column) -> Column:
-    """Whether two names given for one person don't match."""
-    return some_pair(F.filter(pool, lambda r: truthy(r["name"])), lambda a, b: ~fuzzy(a, b))
 
+def _strict(a: str, b: str, rules: Rules) -> str:
+    er = rules.entity_resolution
+    near = f"coalesce({a}.born is not null and {b}.born is not null and {_years(f'{a}.born', f'{b}.born')} <= {er.dob_tolerance_years}, false)"
+    same = f"coalesce({a}.fnum <> '' and {a}.fnum = {b}.fnum, false)"
+    return f"(int({_fuzzy(a, b)}) + int({near}) + int({same}) >= {er.min_criteria})"
 
-def merge(pool: Column) -> Column:
-    """The person of a connected pool: of each attribute the first value there is, in the pool's order."""
-    by_name, by_number = _first(pool, "name"), _first(pool, "number")
-    return F.struct(
-        by_name["name"].alias("name"), by_name["fname"].alias("fname"), by_name["words"].alias("words"),
-        F.get(F.filter(pool, lambda r: r["born"].isNotNull()), F.lit(0))["born"].alias("born"),
-        _first(pool, "place")["place"].alias("place"), by_number["number"].alias("number"), by_number["fnum"].alias("fnum"),
-        _first(pool, "nation")["nation"].alias("nation"), _first(pool, "sex")["sex"].alias("sex"),
-    )
 
+def _there(pool: str) -> str:
+    return f"filter({pool}, r -> not r.blank)"
 
-def conflicts(pool: Column) -> list[tuple[str, Column]]:
-    return [
-        ("NOMBRE_INCONSISTENTE", name_conflict(pool)),
-        ("FECHA_CONFLICTO", _several(pool, lambda r: r["born"].isNotNull(), lambda r: r["born"])),
-        ("ID_INCONSISTENTE", _several(pool, lambda r: truthy(r["number"]), lambda r: r["fnum"])),
-        ("NACIONALIDAD_INCONSISTENTE", _several(pool, lambda r: truthy(r["nation"]), lambda r: r["fnac"])),
-    ]
 
+def _own(generation: str) -> str:
+    """Records of the subjects of a generation's certificates."""
+    return f"transform(filter(certs, c -> c.gen = '{generation}'), c -> c.own)"
 
-PERSON = "struct<name:string,fname:string,words:array<string>,born:date,place:string,number:string,fnum:string,nation:string,sex:string>"
-ROLE = f"struct<person:{PERSON},rejected:boolean,ambiguous:boolean,flags:{_STRINGS},documents:{_STRINGS}>"
 
+def _parents(generation: str, *which: str) -> str:
+    """Records of the parents that a generation's certificates name."""
+    both = ", ".join(f"c.{p}" for p in which)
+    return f"filter(flatten(transform(filter(certs, c -> c.gen = '{generation}'), c -> array({both}))), r -> r is not null)"
 
-def resolve(pool: Column, gate, strict=None) -> Column:
-    """The role of a pool without empty records, see ROLE. With `strict` given, a person whom only the weaker signals of
-    `gate` hold together gets a flag of low confidence."""
-    weak = F.lit(False) if strict is None else ~connected(pool, strict)
-    whole = connected(pool, gate)
-    one = F.struct(
-        merge(pool).alias("person"), F.lit(False).alias("rejected"), F.lit(False).alias("ambiguous"),
-        _flags(*conflicts(pool), ("GENERACION_INFERIDA_BAJA_CONFIANZA", weak)).alias("flags"),
-        F.array_distinct(F.transform(pool, lambda r: r["doc"])).alias("documents"),
-    )
-    return F.when(F.size(pool) == 0, _role(False)).when(~whole, _role(True)).otherwise(one.cast(ROLE))
 
+def _unlike(pool: str, key: str = "''") -> str:
+    """Whether two named records with the same `key` have names that don't match.
 
-def _role(ambiguous: bool) -> Column:
-    flags = F.array(F.lit("NOMBRE_AMBIGUO")) if ambiguous else F.array()
-    return F.struct(
-        F.lit(None).cast(PERSON).alias("person"), F.lit(False).alias("rejected"), F.lit(ambiguous).alias("ambiguous"),
-        flags.cast(_STRINGS).alias("flags"), F.array().cast(_STRINGS).alias("documents"),
-    ).cast(ROLE)
+    Names that all match pairwise are a chain of sets of words, each within the next; in order of size it is enough to
+    look at neighbours.
+    """
+    rows = f"array_sort(transform(filter({pool}, r -> r.named), r -> named_struct('k', {key}, 'n', size(r.words), 'words', r.words, 'fname', r.fname)))"
+    start = "cast(named_struct('last', null, 'bad', false) as struct<last:struct<k:string,n:int,words:array<string>,fname:string>,bad:boolean>)"
+    step = f"(s, x) -> named_struct('last', x, 'bad', s.bad or (s.last is not null and s.last.k = x.k and not {_fuzzy('s.last', 'x')}))"
+    return f"aggregate({rows}, {start}, {step}, s -> s.bad)"
 
 
-def check_gap(parent: Column, child: Column, rules: Rules) -> Column:
+def _checked(parent: str, child: str, rules: Rules) -> str:
     """`child` rejected where the years between two known births are outside the band."""
-    band = rules.gap_bands.hard
-    bad = generation_gap(parent["person"]["born"], child["person"]["born"], band.min_years, band.max_years)
-    rejected = F.struct(
-        child["person"].alias("person"), F.lit(True).alias("rejected"), child["ambiguous"].alias("ambiguous"),
-        F.array_append(child["flags"], F.lit("BRECHA_GENERACIONAL")).alias("flags"), child["documents"].alias("documents"),
-    )
-    return F.when(bad, rejected.cast(ROLE)).otherwise(child)
+    band, born = rules.gap_bands.hard, (f"{parent}.person.born", f"{child}.person.born")
+    bad = f"coalesce({_years(*born)} not between {band.min_years} and {band.max_years}, false)"
+    kept = ", ".join(f"'{f}', {child}.{f}" for f in ("documents", "persons"))
+    out = f"named_struct('person', {child}.person, 'rejected', true, 'ambiguous', {child}.ambiguous, 'flags', array_append({child}.flags, 'BRECHA_GENERACIONAL'), {kept})"
+    return f"case when {born[0]} is not null and {born[1]} is not null and {bad} then cast({out} as {ROLE}) else {child} end"
 
 
-def resolved(role: Column) -> Column:
-    return role["person"].isNotNull() & ~role["ambiguous"]
+def _resolved(role: str) -> str:
+    return f"({role}.person is not null and not {role}.ambiguous)"
 
 
-def collapse(roles: Column) -> Column:
+def _collapsed(roles: str) -> str:
     """One of several candidates: the resolved one with most documents (the first of equals), else the first ambiguous,
     else the first rejected, else nobody."""
-    clean = F.filter(roles, lambda r: resolved(r) & ~r["rejected"])
-    most = F.array_max(F.transform(clean, lambda r: F.size(r["documents"])))
-    return F.coalesce(
-        F.get(F.filter(clean, lambda r: F.size(r["documents"]) == most), F.lit(0)),
-        F.get(F.filter(roles, lambda r: r["ambiguous"]), F.lit(0)),
-        F.get(F.filter(roles, lambda r: r["rejected"]), F.lit(0)),
-        _role(False),
-    )
-
-
-def _slot(r: Column, slot1: Column, slot2: Column, grid: Column, width: Column) -> Column:
-    """Slot of a certificate's subject by its name: 1, 2, or 0 if it fits neither or both alike."""
-    fits = lambda slot: F.exists(slot, lambda p: truthy(p["name"]) & fuzzy(r, p))
-    near = lambda slot: F.coalesce(F.array_max(F.transform(F.filter(slot, lambda p: truthy(p["name"])), lambda p: F.get(grid, r["place_in"] * width + p["place_in"]))), F.lit(0.0))
-    one, two = fits(slot1), fits(slot2)
-    tie = F.when(near(slot1) > near(slot2), 1).when(near(slot2) > near(slot1), 2).otherwise(0)
-    return F.when(one & two, tie).when(one, 1).when(two, 2).otherwise(0)
-
-
-def _of(pool: Column, generation: str, kind: int | None = None) -> Column:
-    return F.filter(pool, lambda r: F.coalesce(r["gen"] == generation, F.lit(False)) & (F.lit(True) if kind is None else r["kind"] == kind))
+    clean = f"filter({roles}, r -> {_resolved('r')} and not r.rejected)"
+    best = f"aggregate({clean}, cast(null as {ROLE}), (b, r) -> if(b is null or size(r.documents) > size(b.documents), r, b))"
+    return f"coalesce({best}, get(filter({roles}, r -> r.ambiguous), 0), get(filter({roles}, r -> r.rejected), 0), {NOBODY})"
 
 
-def _full(pool: Column) -> Column:
-    return F.filter(pool, lambda r: ~is_empty(r))
+# --- passes -----------------------------------------------------------------------------------------------------------
 
 
 def collect_cases(records: DataFrame) -> DataFrame:
-    """case_id with `people` (applicant and holders), `subjects` and `parents`, each in its pool's order, and `grid`: the
-    similarities of subjects and parents of a case in which a subject's name fits parents of both slots."""
-    one = F.struct(
-        "kind", F.col("document_id").alias("doc"), "name", "number", "nation", "born", "sex", "place", "fname", "fnum", "fnac", "words",
-        F.col("generation").alias("gen"), F.col("generation").isNull().alias("untagged"),
-    )
-    order = F.struct(F.when(F.col("kind") == APPLICANT, 0).when(F.col("kind") == HOLDER, 1).otherwise(2).alias("o"), "document_id", "kind", one.alias("r"))
-    cases = records.groupBy("case_id").agg(F.sort_array(F.collect_list(order)).alias("rows"))
-    # the first application alone counts
-    rows = F.filter(F.col("rows"), lambda x, i: (x["kind"] != APPLICANT) | (i == 0))
-    numbered = F.transform(rows, lambda x, i: x["r"].withField("ord", i))
-    cases = pin(cases.select("case_id", "rows"), rows=numbered)
-    placed = lambda pool: F.transform(pool, lambda r, i: r.withField("place_in", i))
-    pick = lambda *kinds: placed(F.filter(F.col("rows"), lambda r: r["kind"].isin(*kinds)))
-    cases = pin(cases, people=pick(APPLICANT, HOLDER), subjects=pick(SUBJECT), parents=pick(PARENT_1, PARENT_2)).drop("rows")
-    both = F.exists(
-        F.col("subjects"),
-        lambda r: F.exists(F.col("parents"), lambda p: (p["kind"] == PARENT_1) & fuzzy(r, p)) & F.exists(F.col("parents"), lambda p: (p["kind"] == PARENT_2) & fuzzy(r, p)),
-    )
-    names = lambda c: F.when(both, F.transform(F.col(c), lambda r: r["fname"])).otherwise(F.array().cast(_STRINGS))
-    cases = pin(cases, _s=names("subjects"), _p=names("parents"))
-    return cases.withColumn("grid", similarity_matrix("_s", "_p")).drop("_s", "_p")
-
-
-def _one_pass(cases: DataFrame, rules: Rules, first: bool) -> DataFrame:
-    strict, loose = strict_gate(rules), loose_gate(rules)
-    col = F.col
-
-    def put(df: DataFrame, **columns: Column) -> DataFrame:
-        """Pin columns; a later pass changes only cases in which the one before inferred something."""
-        return pin(df, **(columns if first else {n: F.when(col("changed"), c).otherwise(col(n)) for n, c in columns.items()}))
-
-    cases = put(cases, pool1=_full(F.concat(col("people"), _of(col("subjects"), "G1"))))
-    cases = put(cases, g1=resolve(col("pool1"), loose, strict))
-    known = resolved(col("g1"))
-    none = F.filter(col("subjects"), lambda _: F.lit(False))
-    cases = put(
-        cases,
-        slot1=F.when(known, _of(col("parents"), "G1", PARENT_1)).otherwise(F.filter(col("parents"), lambda _: F.lit(False))),
-        slot2=F.when(known, _of(col("parents"), "G1", PARENT_2)).otherwise(F.filter(col("parents"), lambda _: F.lit(False))),
-        own2=_full(_of(col("subjects"), "G2")),
-    )
-    width = F.size(col("parents"))
-    slots = F.transform(col("own2"), lambda r: F.struct(r.alias("r"), _slot(r, col("slot1"), col("slot2"), col("grid"), width).alias("s")))
-    cases = put(cases, own2_slots=F.when(known, slots).otherwise(F.transform(none, lambda r: F.struct(r.alias("r"), F.lit(0).alias("s")))))
-    taken = lambda k: F.transform(F.filter(col("own2_slots"), lambda x: x["s"] == k), lambda x: x["r"])
-    cases = put(
-        cases,
-        pool2a=_full(F.concat(col("slot1"), taken(1))),
-        pool2b=_full(F.concat(col("slot2"), taken(2))),
-        # subjects that fit no slot, or all of them where the applicant isn't known
-        pool2c=F.when(known, taken(0)).otherwise(col("own2")),
-    )
-    checked = lambda role: check_gap(col("g1"), role, rules)
-    other = F.when(known, resolve(col("pool2c"), fuzzy)).otherwise(resolve(col("pool2c"), loose, strict))
-    cases = put(cases, role2a=resolve(col("pool2a"), fuzzy), role2b=resolve(col("pool2b"), fuzzy), role2c=other)
-    several = F.concat(F.array(checked(col("role2a")), checked(col("role2b"))), F.when(F.size("pool2c") > 0, F.array(checked(col("role2c")))).otherwise(F.array().cast(f"array<{ROLE}>")))
-    cases = put(cases, candidates=F.when(known, several).otherwise(F.array(checked(col("role2c")))))
-    cases = put(cases, g2=F.when(known, collapse(col("candidates"))).otherwise(F.get(col("candidates"), F.lit(0))))
-    parents = F.when(resolved(col("g2")), _of(col("parents"), "G2")).otherwise(F.filter(col("parents"), lambda _: F.lit(False)))
-    cases = put(cases, pool3=_full(F.concat(parents, _of(col("subjects"), "G3"))))
-    cases = put(cases, g3=resolve(col("pool3"), loose, strict))
-    cases = put(cases, g3=check_gap(col("g2"), col("g3"), rules))
-
-    second = lambda r, p: F.when(known, fuzzy(r, p)).otherwise(strict(r, p))
-    is_second = lambda r: F.exists(col("candidates"), lambda c: resolved(c) & second(r, c["person"]))
-    told = lambda r: (
-        F.when(known & strict(r, col("g1")["person"]), "G1")
-        .when(is_second(r), "G2")
-        .when(resolved(col("g3")) & strict(r, col("g3")["person"]), "G3")
-    )
-    inferred = F.transform(col("subjects"), lambda r: F.when(r["untagged"] & ~is_empty(r), F.coalesce(told(r), r["gen"])).otherwise(r["gen"]))
-    cases = put(cases, next=inferred)
-    before = F.transform(col("subjects"), lambda r: r["gen"])
-    cases = pin(cases, changed=~before.eqNullSafe(col("next")) & (F.lit(True) if first else col("changed")))
-    gen_of = lambda r: F.get(col("next"), F.array_position(F.transform(col("subjects"), lambda s: s["doc"]), r["doc"]).cast("int") - 1)
-    moved = lambda c: F.when(col("changed"), F.transform(col(c), lambda r: r.withField("gen", gen_of(r)))).otherwise(col(c))
-    return pin(cases, subjects=moved("subjects"), parents=moved("parents"))
+    """case_id with `people` (the applicant of the first application and the holders) and `certs`, in the documents' order."""
+    row = F.struct("kind", "document_id", F.col("generation").alias("gen"), "own", "p1", "p2")
+    cases = records.groupBy("case_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    people = "transform(filter(rows, (x, i) -> x.kind = 1 or (x.kind = 0 and i = 0)), x -> x.own)"
+    certs = "transform(filter(rows, x -> x.kind = 2), x -> named_struct('doc', x.document_id, 'gen', x.gen, 'tagged', x.gen is not null, 'own', x.own, 'p1', x.p1, 'p2', x.p2))"
+    return pin(cases, people=F.expr(people), certs=F.expr(f"cast({certs} as array<{_CERTIFICATE}>)")).drop("rows")
+
+
+def _one_pass(cases: DataFrame, rules: Rules) -> DataFrame:
+    """case_id, people, certs (with what was inferred), g1, g2, g3, crossed, changed of (case_id, people, certs)."""
+    role = people.roles(rules.entity_resolution.min_criteria, rules.entity_resolution.dob_tolerance_years)
+    put = lambda df, **columns: pin(df, **{n: F.expr(text) for n, text in columns.items()})
+    yes, no = F.lit(True), F.lit(False)
+    cases = put(cases, pool1=_there(f"concat(people, {_own('G1')})"))
+    cases = cases.withColumn("g1", role("pool1", yes))
+    known = _resolved("g1")
+    of_known = lambda text: f"if({known}, {text}, {_NO_RECORDS})"
+    cases = put(cases, own2=_there(_own("G2")), slot1=of_known(_parents("G1", "p1")), slot2=of_known(_parents("G1", "p2")))
+    names = lambda pool, which="r -> r.named": F.expr(f"transform(filter({pool}, {which}), r -> r.fname)")
+    cases = cases.withColumn("slots", people.parent_slots(names(of_known("own2"), "r -> true"), names("slot1"), names("slot2")))
+    taken = lambda k: f"filter(own2, (r, i) -> get(slots, i) = {k})"
+    # subjects that fit no slot, or all of them where the applicant isn't known
+    cases = put(cases, pool2a=f"concat(slot1, {taken(1)})", pool2b=f"concat(slot2, {taken(2)})", pool2c=f"if({known}, {taken(0)}, own2)")
+    cases = cases.withColumns({"role2a": role("pool2a", no), "role2b": role("pool2b", no), "role2c": role("pool2c", F.expr(f"not {known}"))})
+    candidates = f"if({known}, if(size(pool2c) > 0, array(role2a, role2b, role2c), array(role2a, role2b)), array(role2c))"
+    cases = put(cases, candidates=f"transform({candidates}, r -> {_checked('g1', 'r', rules)})")
+    cases = put(cases, g2=f"if({known}, {_collapsed('candidates')}, candidates[0])")
+    cases = put(cases, pool3=_there(f"concat(if({_resolved('g2')}, {_parents('G2', 'p1', 'p2')}, {_NO_RECORDS}), {_own('G3')})"))
+    cases = put(cases.withColumn("role3", role("pool3", yes)), g3=_checked("g2", "role3", rules))
+
+    second = f"exists(candidates, k -> {_resolved('k')} and if({known}, {_fuzzy('c.own', 'k.person')}, {_strict('c.own', 'k.person', rules)}))"
+    told = f"case when {known} and {_strict('c.own', 'g1.person', rules)} then 'G1' when {second} then 'G2' when {_resolved('g3')} and {_strict('c.own', 'g3.person', rules)} then 'G3' end"
+    gen = f"if(c.tagged or c.own.blank, c.gen, coalesce({told}, c.gen))"
+    cases = put(cases, gens=f"transform(certs, c -> {gen})")
+    named = "filter(concat(pool1, pool2a, pool2b, pool2c, pool3), r -> r.fnum <> '')"
+    fields = ", ".join(f"'{f}', {f'gens[i]' if f == 'gen' else f'c.{f}'}" for f in ("doc", "gen", "tagged", "own", "p1", "p2"))
+    cases = put(cases, crossed=_unlike(named, "r.fnum"), changed="exists(arrays_zip(certs, gens), x -> not (x.certs.gen <=> x.gens))")
+    return put(cases, certs=f"cast(transform(certs, (c, i) -> named_struct({fields})) as array<{_CERTIFICATE}>)").select("case_id", "people", "certs", "g1", "g2", "g3", "crossed", "changed")
 
 
 def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """One row for each case that names a person: case_id, g1, g2, g3 (see ROLE), crossed, inferred, flags.
 
     `inferred` maps untagged certificates to generations; `flags` are the sorted flags of the case. Cases of which no
-    document names anybody have no row here; verdicts() fills them with unresolved roles.
+    document names anybody have no row here; verdicts() fills them with unresolved roles. Runs a job for each pass.
     """
     rules = rules or Rules()
-    cases = collect_cases(person_records(docs))
+    now = collect_cases(person_records(docs))
+    ended: list[DataFrame] = []
     for k in range(PASSES):
-        cases = _one_pass(cases, rules, k == 0)
-    every = F.concat(*(F.col(c) for c in ("pool1", "pool2a", "pool2b", "pool2c", "pool3")))
-    cases = pin(cases, every=F.filter(every, lambda r: (r["fnum"] != "") & truthy(r["name"])))
-    crossed = some_pair(F.col("every"), lambda a, b: (a["fnum"] == b["fnum"]) & ~fuzzy(a, b))
-    inferred = F.filter(F.col("subjects"), lambda r: r["untagged"] & r["gen"].isNotNull())
-    cases = cases.select("case_id", "g1", "g2", "g3", crossed.alias("crossed"), F.map_from_entries(F.transform(inferred, lambda r: F.struct(r["doc"], r["gen"]))).alias("inferred"))
-    flags = F.concat("g1.flags", "g2.flags", "g3.flags", _flags(("DOCUMENTO_CRUZADO", F.col("crossed"))))
-    return cases.withColumn("flags", F.array_sort(F.array_distinct(flags)))
+        done = stash(_one_pass(now, rules), "lineage")
+        last = k == PASSES - 1 or done.where("changed").isEmpty()
+        ended.append(done if last else done.where("not changed"))
+        if last:
+            break
+        now = done.where("changed").select("case_id", "people", "certs")
+    cases = reduce(DataFrame.unionByName, ended)
+    inferred = "map_from_entries(transform(filter(certs, c -> not c.tagged and c.gen is not null), c -> struct(c.doc, c.gen)))"
+    crossed = "if(crossed, array('DOCUMENTO_CRUZADO'), array())"
+    return cases.selectExpr("case_id", "g1", "g2", "g3", "crossed", f"{inferred} as inferred", f"array_sort(array_distinct(concat(g1.flags, g2.flags, g3.flags, {crossed}))) as flags")

@@ -1,52 +1,56 @@
-"""Person records of canonical documents: one flat row for each person that a document names."""
+"""Person records of canonical documents: who a document is of, and the parents that a certificate names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.functions.dates import parse_date
-from casegraph.functions.text import fold_person, join_present, truthy
+from casegraph.functions.dates import with_dates
+from casegraph.functions.text import fold_person, join_present
 
-#: Kinds of record, in the order in which they enter a pool.
-APPLICANT, HOLDER, SUBJECT, PARENT_1, PARENT_2 = range(5)
+#: What is known of a person by one document. `blank` if nothing is, `named` if there is a name; words are sorted, each once.
+RECORD = (
+    "struct<doc:string,name:string,number:string,nation:string,born:date,sex:string,place:string,fname:string,fnum:string,fnac:string,"
+    "words:array<string>,named:boolean,blank:boolean>"
+)
 
 
-def _record(kind: int, name: Column, number: Column, nation: Column, birth: Column | None = None, sex: Column | None = None, place: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(kind).alias("kind"), name.alias("name"), number.alias("number"), nation.alias("nation"),
-        (none if birth is None else birth).alias("birth"), (none if sex is None else sex).alias("sex"), (none if place is None else place).alias("place"),
-    )
+def _full(text: str) -> str:
+    return f"coalesce({text} <> '', false)"
 
 
 def person_records(docs: DataFrame) -> DataFrame:
-    """case_id, document_id, generation, kind, name, number, nation, born, sex, place, fname, fnum, fnac, words.
+    """case_id, document_id, generation, kind (0 application, 1 identity document, 2 birth certificate), own, p1, p2.
 
-    The applicant of a case's first application, the holder of each identity document, and the subject and the named
-    parents of each birth certificate. Names are folded once here; later steps compare plain columns. No shuffle but
-    for the choice of the application.
+    `own` is the record (RECORD) of the applicant, the holder or the certificate's subject; p1 and p2 are those of the
+    parents, null where a certificate names none. Names are folded once here; later steps compare plain columns. Other
+    documents have no row. No shuffle.
     """
-    none = F.lit(None).cast("string")
-    s, i, c = (lambda a: F.col(f"solicitud.{a}")), (lambda a: F.col(f"identidad.{a}")), (lambda a: F.col(f"certificado.{a}"))
-    parents = []
-    for kind, k in ((PARENT_1, 1), (PARENT_2, 2)):
-        known = truthy(c(f"progenitor{k}_nombre")) | truthy(c(f"progenitor{k}_num_doc")) | truthy(c(f"progenitor{k}_nacionalidad"))
-        parents.append(F.when(known, _record(kind, c(f"progenitor{k}_nombre"), c(f"progenitor{k}_num_doc"), c(f"progenitor{k}_nacionalidad"))))
-    applicant = _record(APPLICANT, join_present(s("nombre_solicitante"), s("apellido_padre"), s("apellido_madre")), s("numero_id"), s("nacionalidad"))
-    holder = _record(HOLDER, join_present(i("nombres"), i("apellidos")), i("numero_id"), i("nacionalidad"), i("fecha_nacimiento"), i("sexo"))
-    subject = _record(SUBJECT, c("nombre"), none, none, c("fecha_nacimiento"), c("sexo"), c("lugar_inscripcion"))
-    named = (
-        F.when(F.col("solicitud").isNotNull(), F.array(applicant))
-        .when(F.col("identidad").isNotNull(), F.array(holder))
-        .when(F.col("certificado").isNotNull(), F.filter(F.array(subject, *parents), lambda x: x.isNotNull()))
-    )
-    rows = docs.select("case_id", "document_id", "generation", F.explode(named).alias("r")).select("case_id", "document_id", "generation", "r.*")
-    rows = rows.withColumn("born", parse_date(F.col("birth"))).drop("birth")
-    rows = rows.withColumn("_f", fold_person("name", "number", "nation")).select(*rows.columns, "_f.*")
-    return rows.withColumn("words", F.split("fname", " "))
-
-
-def is_empty(r: Column) -> Column:
-    """Whether a record holds nothing to resolve on."""
-    return ~(truthy(r["name"]) | r["born"].isNotNull() | truthy(r["number"]) | truthy(r["nation"]) | truthy(r["sex"]) | truthy(r["place"]))
+    rows = docs.withColumn("_applicant", join_present(*(F.col(f"solicitud.{a}") for a in ("nombre_solicitante", "apellido_padre", "apellido_madre"))))
+    rows = rows.withColumn("_holder", join_present(F.col("identidad.nombres"), F.col("identidad.apellidos")))
+    s, i, c = "solicitud is not null", "identidad is not null", "certificado is not null"
+    of = lambda a, h, x: f"case when {s} then {a} when {i} then {h} when {c} then {x} end"
+    own = {
+        "name": of("_applicant", "_holder", "certificado.nombre"), "number": of("solicitud.numero_id", "identidad.numero_id", "null"),
+        "nation": of("solicitud.nacionalidad", "identidad.nacionalidad", "null"), "birth": of("null", "identidad.fecha_nacimiento", "certificado.fecha_nacimiento"),
+        "sex": of("null", "identidad.sexo", "certificado.sexo"), "place": of("null", "null", "certificado.lugar_inscripcion"),
+    }
+    parent = lambda k: {n: f"certificado.progenitor{k}_{a}" for n, a in (("name", "nombre"), ("number", "num_doc"), ("nation", "nacionalidad"))}
+    told = {f"_{who}_{a}": F.expr(x) for who, values in (("own", own), ("p1", parent(1)), ("p2", parent(2))) for a, x in values.items()}
+    rows = rows.where(f"{s} or {i} or {c}").select("case_id", "document_id", "generation", F.expr(of("0", "1", "2")).alias("kind"), *(x.alias(n) for n, x in told.items()))
+    rows = rows.withColumns({f"_{who}_f": fold_person(f"_{who}_name", f"_{who}_number", f"_{who}_nation") for who in ("own", "p1", "p2")})
+    rows = with_dates(rows, _own_born="_own_birth")
+
+    def record(who: str) -> str:
+        more = {a: f"_{who}_{a}" if who == "own" else "null" for a in ("born", "sex", "place")}
+        parts = [f"_{who}_{a}" for a in ("name", "number", "nation")]
+        there = [_full(x) for x in (*parts, more["sex"], more["place"]) if x != "null"] + ([f"{more['born']} is not null"] if who == "own" else [])
+        values = {
+            "doc": "document_id", "name": parts[0], "number": parts[1], "nation": parts[2], **more, "fname": f"_{who}_f.fname", "fnum": f"_{who}_f.fnum", "fnac": f"_{who}_f.fnac",
+            "words": f"array_sort(array_distinct(split(_{who}_f.fname, ' ')))", "named": _full(parts[0]), "blank": f"not ({' or '.join(there)})",
+        }
+        return f"cast(named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())}) as {RECORD})"
+
+    known = lambda who: " or ".join(_full(f"_{who}_{a}") for a in ("name", "number", "nation"))
+    parents = (F.expr(f"case when {known(p)} then {record(p)} end").alias(p) for p in ("p1", "p2"))
+    return rows.select("case_id", "document_id", "generation", "kind", F.expr(record("own")).alias("own"), *parents)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.config import Rules
-from casegraph.functions.dates import generation_gap, parse_date, within_years, years_between
+from casegraph.functions.dates import generation_gap, with_dates, within_years, years_between
 from casegraph.functions.text import clean_text, doc_numbers_match, fold_doc_number, fold_name, fold_nationality, fuzzy_folded, strip_page_headers
 from casegraph.operators import adapter, decision, replies, report, status
 from casegraph.plans import records
@@ -138,10 +138,10 @@ SELECT id, a, b, number, nation, same_name, fuzzy, same_number, near, years, gap
 
 
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.written_dates(spark, sf_dir).select("id", parse_date(F.col("written")).alias("parsed"))
+    return with_dates(derived.written_dates(spark, sf_dir).select("id", "written"), parsed="written").drop("written")
 
 
-PARSE_DATES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 6 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"
+PARSE_DATES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 <> 6 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"
 
 
 def classify_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def template_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     acroform = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))
     xfa = F.create_map(F.lit("Textfield-5"), F.lit("xfa"), F.lit("provincia"), F.lit("label"))
     rows = derived.table(spark, sf_dir, "orders").select(n.alias("id"), adapter.anexo_variant(text).alias("variant"), acroform.alias("a"), F.when(n % 5 == 0, xfa).alias("x"))
-    got = adapter.with_form_attributes(rows, "a", "x", "variant", "f", F.lit(True))
+    got = adapter.with_form_attributes(rows, "a", "x", "variant", "f", "true")
     return got.select("id", "variant", *(F.element_at("f", F.lit(k)).alias(k) for k in ("domicilio", "provincia", "email", "nacionalidad_origen_progenitor", "lugar_presentacion", "fecha_presentacion")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.functions import sql
 from casegraph.functions.dates import utc_stamp
 from casegraph.schemas import CERTIFICADO, IDENTIDAD, SOLICITUD
 
@@ -54,62 +55,46 @@ def case_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates, 6 parent too young, 7 a number shared by two names, 8 no third generation, 9 applicant's certificates
     without generation.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    o = o.select(F.expr(f"o_orderkey div {CASE_SIZE}").alias("c"), (F.col("o_orderkey") % CASE_SIZE).cast("int").alias("k"))
-    c, k = F.col("c"), F.col("k")
-    o = o.withColumns({"v": (c % 10).cast("int"), "given": _pick(GIVEN, F.expr("c div 10")), "father": _pick(FATHER, F.expr("c div 10"))})
-    v = F.col("v")
-    doc = F.get(F.array(*map(F.lit, ("a", "b", "c1", "c2", "c3", "d1", "d2", "d3", "o", "z"))), k)
-    gone = ((v == 1) & k.isin(5, 6, 7)) | ((v == 8) & k.isin(4, 7))
-    kind = F.when(k == 0, "APPLICATION").when(k == 1, "ID_DOCUMENT").when(gone | (k == 8), "OTHER").when(k == 9, "EMPTY").otherwise("BIRTH_CERT")
-    generation = F.get(F.array(*(F.lit(g).cast("string") for g in (None, None, "G1", "G2", "G3", "G1", "G2", "G3", None, None))), k)
-    generation = F.when((kind == "BIRTH_CERT") & ~((v == 9) & k.isin(2, 5)), generation)
-    number = lambda n: F.concat(F.lit(f"{n}-"), c.cast("string"))
-    text = lambda x: F.lit(x)
-    given, full = F.col("given"), F.concat_ws(" ", "given", "father")
-
-    form = dict.fromkeys(SOLICITUD, text("dato")) | {
-        "nombre_solicitante": given, "apellido_padre": F.col("father"), "apellido_madre": text(""), "nacionalidad": text("Boliviana"), "numero_id": number(1),
-        "fecha_presentacion": text("01/Octubre/2025"),
+    o = table(spark, sf_dir, "orders").selectExpr(f"o_orderkey div {CASE_SIZE} as c", f"int(o_orderkey % {CASE_SIZE}) as k")
+    pick = lambda values: f"get({sql.texts(values)}, int(c div 10 % {len(values)}))"
+    o = o.selectExpr("c", "k", "int(c % 10) as v", f"{pick(GIVEN)} as given", f"{pick(FATHER)} as father")
+    number = lambda n: f"concat('{n}-', c)"
+    q, when = sql.quoted, sql.case
+    doc = "get(array('a', 'b', 'c1', 'c2', 'c3', 'd1', 'd2', 'd3', 'o', 'z'), k)"
+    kind = when(("k = 0", "'APPLICATION'"), ("k = 1", "'ID_DOCUMENT'"), ("(v = 1 and k in (5, 6, 7)) or (v = 8 and k in (4, 7)) or k = 8", "'OTHER'"), ("k = 9", "'EMPTY'"), other="'BIRTH_CERT'")
+    o = o.selectExpr("*", f"{doc} as doc", f"{kind} as kind")
+    generation = "if(kind = 'BIRTH_CERT' and not (v = 9 and k in (2, 5)), concat('G', (k - 2) % 3 + 1), null)"
+
+    form = dict.fromkeys(SOLICITUD, "'dato'") | {
+        "nombre_solicitante": "given", "apellido_padre": "father", "apellido_madre": "''", "nacionalidad": "'Boliviana'", "numero_id": number(1), "fecha_presentacion": "'01/Octubre/2025'",
     }
-    pairs = lambda m, labels: F.map_from_entries(F.array(*(F.struct(text(labels[a]).alias("k"), x.alias("v")) for a, x in m.items())))
-    acroform = pairs(form, SOLICITUD)
-    acroform = F.when(v == 3, F.map_filter(acroform, lambda key, _: key != SOLICITUD["fecha_presentacion"])).otherwise(acroform)
-
-    same = {a: a for a in IDENTIDAD | CERTIFICADO}
-    identity = dict.fromkeys(IDENTIDAD, text("dato")) | {
-        "nombres": F.upper(given), "apellidos": F.upper("father"), "nacionalidad": text("BOLIVIANA"), "numero_id": F.concat(text("1."), c.cast("string")),
-        "fecha_nacimiento": text("01/01/1990"), "fecha_vencimiento": F.when(v == 2, "01/01/2020").otherwise("01/01/2030"),
+    acroform = sql.entries({SOLICITUD[a]: x for a, x in form.items()})
+    acroform = f"if(v = 3, map_filter({acroform}, (key, x) -> key <> {q(SOLICITUD['fecha_presentacion'])}), {acroform})"
+    identity = dict.fromkeys(IDENTIDAD, "'dato'") | {
+        "nombres": "upper(given)", "apellidos": "upper(father)", "nacionalidad": "'BOLIVIANA'", "numero_id": "concat('1.', c)",
+        "fecha_nacimiento": "'01/01/1990'", "fecha_vencimiento": "if(v = 2, '01/01/2020', '01/01/2030')",
     }
-    stranger = (v == 4) & (k == 5)
-    level = k.isin(2, 5), k.isin(3, 6)
     # without named grandparents nothing but a name ties the third generation together, and no flag of low confidence arises
-    nameless = v.isin(0, 6, 9)
-    grand = lambda x: F.when(nameless, "").otherwise(x)
-    three = lambda x, y, z: F.when(level[0], x).when(level[1], y).otherwise(z)
-    born = three(
-        F.when(stranger, "01/01/1970").when((v == 5) & (k == 5), "05/05/1990").otherwise("1 de enero de 1990"),
-        F.when(v == 6, "01.01.1985").otherwise("01 ENERO MIL NOVECIENTOS SESENTA"),
-        text("1930-01-01"),
-    )
-    certificate = dict.fromkeys(CERTIFICADO, text("dato")) | {
-        "nombre": three(F.when(stranger, "Luis Torres").otherwise(full), text(PARENT), text(GRANDPARENT)), "fecha_nacimiento": born, "lugar_inscripcion": text("La Paz / Bolivia"),
-        "progenitor1_nombre": three(text(PARENT), grand(GRANDPARENT), text("Juan Ruiz")), "progenitor2_nombre": three(text(OTHER_PARENT), grand(GRANDPARENT), text("Rosa Gil")),
-        "progenitor1_num_doc": three(F.when(v == 7, number(1)).otherwise(number(2)), grand(number(3)), number(5)),
-        "progenitor2_num_doc": three(number(4), grand(number(3)), number(6)),
-        "progenitor1_nacionalidad": three(text("ESP"), grand("ESP"), text("ESP")), "progenitor2_nacionalidad": three(text("Española"), grand("Española"), text("Española")),
+    grand = lambda x: f"if(v in (0, 6, 9), '', {x})"
+    three = lambda x, y, z: when(("k in (2, 5)", x), ("k in (3, 6)", y), other=z)
+    stranger = lambda x, y: f"if(v = 4 and k = 5, {q(x)}, {y})"
+    born = three(stranger("01/01/1970", "if(v = 5 and k = 5, '05/05/1990', '1 de enero de 1990')"), "if(v = 6, '01.01.1985', '01 ENERO MIL NOVECIENTOS SESENTA')", "'1930-01-01'")
+    certificate = dict.fromkeys(CERTIFICADO, "'dato'") | {
+        "nombre": three(stranger("Luis Torres", "concat_ws(' ', given, father)"), q(PARENT), q(GRANDPARENT)), "fecha_nacimiento": born, "lugar_inscripcion": "'La Paz / Bolivia'",
+        "progenitor1_nombre": three(q(PARENT), grand(q(GRANDPARENT)), "'Juan Ruiz'"), "progenitor2_nombre": three(q(OTHER_PARENT), grand(q(GRANDPARENT)), "'Rosa Gil'"),
+        "progenitor1_num_doc": three(f"if(v = 7, {number(1)}, {number(2)})", grand(number(3)), number(5)), "progenitor2_num_doc": three(number(4), grand(number(3)), number(6)),
+        "progenitor1_nacionalidad": three("'ESP'", grand("'ESP'"), "'ESP'"), "progenitor2_nacionalidad": three("'Española'", grand("'Española'"), "'Española'"),
     }
-    none = F.create_map().cast("map<string,string>")
-    fields = F.when(kind == "ID_DOCUMENT", pairs(identity, same)).when(kind == "BIRTH_CERT", pairs(certificate, same)).otherwise(none)
-    return o.select(
-        c.cast("string").alias("case_id"), doc.alias("document_id"), F.concat(doc, F.lit(".pdf")).alias("source_file"),
-        F.struct(
-            F.lit("pdf").alias("file_type"), F.lit("texto").alias("extracted_text"), F.lit(1).alias("page_count"), F.lit(1).alias("pages_via_text_layer"), F.lit(0).alias("pages_via_vlm"),
-            none.alias("orientation_corrections"), F.when(k == 0, acroform).otherwise(none).alias("acroform_fields"), none.alias("xfa_fields"),
-        ).alias("extraction"),
-        F.struct(kind.alias("document_type"), generation.alias("generation"), F.lit(1.0).alias("confidence"), F.lit("").alias("raw_response")).alias("classification"),
-        F.struct(fields.alias("fields"), F.lit("").alias("raw_response")).alias("field_extraction"),
-        (k / 4).alias("processing_seconds"), F.lit("stub").alias("model_name"), F.lit("2025-01-01T00:00:00Z").alias("extracted_at"),
+    none = "cast(map() as map<string,string>)"
+    fields = when(("kind = 'ID_DOCUMENT'", sql.entries(identity)), ("kind = 'BIRTH_CERT'", sql.entries(certificate)), other=none)
+    extraction = {
+        "file_type": "'pdf'", "extracted_text": "'texto'", "page_count": "1", "pages_via_text_layer": "1", "pages_via_vlm": "0", "orientation_corrections": none,
+        "acroform_fields": f"if(k = 0, {acroform}, {none})", "xfa_fields": none,
+    }
+    classification = {"document_type": "kind", "generation": generation, "confidence": "1.0d", "raw_response": "''"}
+    return o.selectExpr(
+        "string(c) as case_id", "doc as document_id", "concat(doc, '.pdf') as source_file", f"{sql.struct(extraction)} as extraction", f"{sql.struct(classification)} as classification",
+        f"named_struct('fields', {fields}, 'raw_response', '') as field_extraction", "k / 4 as processing_seconds", "'stub' as model_name", "'2025-01-01T00:00:00Z' as extracted_at",
     )
 
 
@@ -135,17 +120,26 @@ def person_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Names of the months, for dates in words.
 MONTH_NAMES = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
+# Number words, by their digit.
+ONES = ("", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve")
+DECADES = ("", "diez", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa")
+CENTURIES = ("", "ciento", "doscientos", "trescientos", "cuatrocientos", "quinientos", "seiscientos", "setecientos", "ochocientos", "novecientos")
+
 
 def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, written, real: order dates in seven forms, one of them no date."""
+    """id, written, real: order dates in eight forms, one of them with the year in words, one no date."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("real"))
     d, n = F.col("real"), F.col("id")
     month = F.get(F.array(*map(F.lit, MONTH_NAMES)), F.month(d) - 1)
     word = F.concat_ws(" ", F.date_format(d, "dd"), F.upper(month), F.date_format(d, "yyyy"))
+    ones, tens, hundreds = (_pick(words, F.expr(f"year(real) div {10**k} % 10")) for k, words in enumerate((ONES, DECADES, CENTURIES)))
+    below = F.when(F.year(d) % 10 == 0, tens).when(F.year(d) % 100 < 10, ones).otherwise(F.concat_ws(" y ", tens, ones))
+    thousands = F.when(F.year(d) < 2000, F.lit("mil")).otherwise(F.lit("dos mil"))
+    spelled = F.concat_ws("  ", F.day(d).cast("string"), month, F.concat_ws(" ", thousands, F.nullif(hundreds, F.lit("")), F.nullif(below, F.lit(""))))
     written = (
-        F.when(n % 7 == 0, F.date_format(d, "dd/MM/yyyy")).when(n % 7 == 1, F.date_format(d, "d-M-yyyy")).when(n % 7 == 2, F.date_format(d, "yyyy-MM-dd"))
-        .when(n % 7 == 3, F.date_format(d, " dd.MM.yyyy ")).when(n % 7 == 4, F.concat_ws(" de ", F.day(d).cast("string"), month, F.year(d).cast("string")))
-        .when(n % 7 == 5, word).otherwise(F.date_format(d, "MMMM d, yyyy"))
+        F.when(n % 8 == 0, F.date_format(d, "dd/MM/yyyy")).when(n % 8 == 1, F.date_format(d, "d-M-yyyy")).when(n % 8 == 2, F.date_format(d, "yyyy-MM-dd"))
+        .when(n % 8 == 3, F.date_format(d, " dd.MM.yyyy ")).when(n % 8 == 4, F.concat_ws(" de ", F.day(d).cast("string"), month, F.year(d).cast("string")))
+        .when(n % 8 == 5, word).when(n % 8 == 7, spelled).otherwise(F.date_format(d, "MMMM d, yyyy"))
     )
     return o.select("id", written.alias("written"), "real")
 
