@@ -85,5 +85,5 @@ def with_totals(rows: DataFrame, totals: DataFrame, key: str, n_rows: int | None
     near = F.broadcast(hot.select("_key", "_n", *(F.col(c).alias(f"_hot_{c}") for c in more)))
     rows = rows.join(near, "_key", "left")
     spread = F.when(F.col("_n").isNull(), F.col("_key")).otherwise(F.concat(F.lit("~"), F.xxhash64(*(c for c in rows.columns if not c.startswith("_"))).cast("string")))
-    rows = rows.drop("_n").withColumn("_key", spread).join(rest.drop("_n"), "_key", "left")
+    rows = rows.withColumn("_key", spread).drop("_n").join(rest.drop("_n"), "_key", "left")
     return rows.select(*(c for c in rows.columns if not c.startswith("_hot_") and c not in more and c != "_key"), *(F.coalesce(f"_hot_{c}", c).alias(c) for c in more))
