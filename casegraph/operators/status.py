@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,36 +139,92 @@ def any_launchable(status: DataFrame, most: int = 3) -> DataFrame:
     return status.groupBy("case_id").agg(F.bool_or(is_launchable(F.col("stage"), F.col("attempt_count"), most)).alias("any_launchable"))
 
 
+#: What a stretch of events makes of each stage: the stage after it, and what it adds.
+_STRETCH = "stage string, added int, moved boolean, last_updated string, error_detail string, rejected long"
+
+
+def _next_stages() -> tuple[np.ndarray, np.ndarray]:
+    """[stage, target] → stage after, and whether the transition is allowed; the last target stands for unknown ones."""
+    names = list(TRANSITIONS)
+    allowed = np.array([[t in TRANSITIONS[s] for t in (*names, None)] for s in names])
+    stages, targets = np.arange(len(names))[:, None], np.arange(len(names) + 1)[None, :]
+    return np.where(allowed, targets, stages), allowed
+
+
+def stretches(targets: np.ndarray, starts: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """For each stage to begin with, what the stretches that begin at `starts` make of it: the stage after, attempts added,
+    rejected events, and the last event that was allowed (-1 for none).
+
+    Transitions are functions on the stages, so those of all events are composed by doubling, all stretches at once.
+    """
+    after, allowed = _next_stages()
+    n, first = len(targets), np.zeros(len(targets), bool)
+    first[starts] = True
+    ends = np.r_[starts[1:], n] - 1
+    out = []
+    for begin in range(len(after)):
+        steps = after[:, targets].T.copy()  # [event, stage] → stage
+        steps[starts] = after[begin, targets[starts]][:, None]
+        width = 1
+        while width < n:
+            steps[width:] = np.take_along_axis(steps[width:], steps[:-width].copy(), 1)
+            width *= 2
+        now = steps[:, 0]  # each stretch begins with a constant, so what comes before it doesn't matter
+        before = np.where(first, begin, np.r_[begin, now[:-1]])
+        good = allowed[before, targets]
+        failed = list(TRANSITIONS).index("FAILED")
+        added, bad = np.add.reduceat(good & (before == failed), starts, dtype=np.int64), np.add.reduceat(~good, starts, dtype=np.int64)
+        out.append({"stage": now[ends], "added": added, "rejected": bad, "last": np.maximum.reduceat(np.where(good, np.arange(n), -1), starts)})
+    return out
+
+
+def _folded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of each batch of sorted events: its place, its first event, and the stretch by stage."""
+    names, place = list(TRANSITIONS), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        case_id, document_id, target, error, moment = (batch.column(n) for n in ("case_id", "document_id", "target", "error_detail", "moment"))
+        code = pa.compute.fill_null(pa.compute.index_in(target, pa.array(names)), len(names)).to_numpy()
+        ids = [pa.compute.dictionary_encode(c, null_encoding="encode").indices.to_numpy() for c in (case_id, document_id)]
+        starts = np.flatnonzero(np.r_[True, (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])])
+        at = pa.array(starts)
+        columns = {"case_id": case_id.take(at), "document_id": document_id.take(at), "place": pa.array(place + np.arange(len(starts))), "first_target": target.take(at), "first_moment": moment.take(at)}
+        for name, told in zip(names, stretches(code, starts), strict=True):
+            last = pa.array(np.where(told["last"] < 0, 0, told["last"]), mask=told["last"] < 0)
+            failed = pa.array(told["stage"] == names.index("FAILED"))
+            kept = pa.compute.if_else(failed, error.take(last), pa.nulls(len(starts), error.type))
+            parts = {"stage": pa.array(np.array(names)[told["stage"]]), "added": pa.array(told["added"].astype(np.int32)), "moved": pa.array(told["last"] >= 0), "last_updated": moment.take(last), "error_detail": kept, "rejected": pa.array(told["rejected"])}
+            columns[name] = pa.StructArray.from_arrays(list(parts.values()), list(parts))
+        place += len(starts)
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Status of each document after its requested transitions.
 
     `events` has case_id, document_id, seq, target, error_detail, moment. A document begins RECEIVED with attempt 1 at
     its first event, whose target RECEIVED registers it. A transition that isn't allowed changes nothing and counts as
     rejected; one out of FAILED begins a new attempt; the error detail stays only with FAILED.
-    """
-    each = F.struct("seq", "target", "error_detail", "moment")
-    grouped = events.groupBy("case_id", "document_id").agg(F.sort_array(F.collect_list(each)).alias("steps"))
-    start = F.struct(
-        F.lit("RECEIVED").alias("stage"), F.lit(1).alias("attempt_count"), F.get("steps", F.lit(0))["moment"].alias("last_updated"),
-        F.lit(None).cast("string").alias("error_detail"), F.lit(0).alias("rejected"),
-    )
 
-    def step(state: Column, e: Column) -> Column:
-        valid = is_valid_transition(state["stage"], e["target"])
-        moved = F.struct(
-            e["target"].alias("stage"),
-            (state["attempt_count"] + F.when(state["stage"] == "FAILED", 1).otherwise(0)).alias("attempt_count"),
-            e["moment"].alias("last_updated"),
-            F.when(e["target"] == "FAILED", e["error_detail"]).alias("error_detail"),
-            state["rejected"].alias("rejected"),
-        )
-        stayed = F.struct(*(state[c].alias(c) for c in ("stage", "attempt_count", "last_updated", "error_detail")), (state["rejected"] + 1).alias("rejected"))
-        return F.when(valid, moved).otherwise(stayed)
-
-    registers = F.coalesce(F.get("steps", F.lit(0))["target"] == "RECEIVED", F.lit(False))
-    steps = F.when(registers, F.slice("steps", 2, F.greatest(F.size("steps"), F.lit(1)))).otherwise(F.col("steps"))
-    folded = grouped.select("case_id", "document_id", F.aggregate(steps, start, step).alias("s"))
-    return folded.select("case_id", "document_id", "s.*")
+    Events are dealt by ranges of document and order, so a long history is spread over many tasks. Each folds what it has
+    of a document to what that makes of each stage, and these few rows are put together in order.
+    """
+    order = ("case_id", "document_id", "seq", "target", "error_detail", "moment")
+    rows = events.select(*(F.col(c).cast("string").alias(c) if c != "seq" else c for c in order))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = ", ".join(f"{s} struct<{_STRETCH}>" for s in TRANSITIONS)
+    folded = dealt.drop("seq").mapInArrow(_folded_batches, f"case_id string, document_id string, place long, first_target string, first_moment string, {parts}")
+    steps = F.sort_array(F.collect_list(F.struct("place", "first_target", "first_moment", *TRANSITIONS)))  # a row a batch
+    grouped = folded.groupBy("case_id", "document_id").agg(steps.alias("steps"))
+    start = "named_struct('stage', 'RECEIVED', 'attempt_count', 1, 'last_updated', steps[0].first_moment, 'error_detail', cast(null as string), 'rejected', 0L)"
+    by_stage = " ".join(f"when '{s}' then p.{s}" for s in TRANSITIONS)
+    moved = "named_struct('stage', q.stage, 'attempt_count', s.attempt_count + q.added, 'last_updated', q.last_updated, 'error_detail', q.error_detail, 'rejected', s.rejected + q.rejected)"
+    stayed = "named_struct('stage', s.stage, 'attempt_count', s.attempt_count, 'last_updated', s.last_updated, 'error_detail', s.error_detail, 'rejected', s.rejected + q.rejected)"
+    one = f"(s, p) -> element_at(transform(array(case s.stage {by_stage} end), q -> if(q.moved, {moved}, {stayed})), 1)"
+    told = grouped.selectExpr("case_id", "document_id", f"aggregate(steps, {start}, {one}) as s", "coalesce(steps[0].first_target = 'RECEIVED', false) as registered")
+    # what registers a document is no transition
+    return told.selectExpr("case_id", "document_id", "s.stage", "s.attempt_count", "s.last_updated", "s.error_detail", "int(s.rejected - int(registered)) as rejected")
 
 
 def audit_transitions(events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from casegraph import cli, service
 from casegraph.config import Settings
-from casegraph.operators.orchestration import Drive, Runner, local_job, process_documents, remote_job
+from casegraph.operators.orchestration import Busy, CaseRuns, Drive, local_job, process_documents, remote_job
 from casegraph.sources.results import failures
 from casegraph.sources.store import DocumentMissing, Store
 from casegraph.streaming.ingest import CRASHED
@@ -89,40 +89,79 @@ def test_service(spark, tables, tmp_path):
         gate.wait(60)
         return local_job(work)(df)
 
-    runner = Runner(tables, slow)
-    s = service.Service(tables, runner, Settings(upload_dir=str(tmp_path / "up")), model="m")
+    runs = CaseRuns(tables, slow)
+    s = service.Service(tables, runs, Settings(upload_dir=str(tmp_path / "up")), model="m")
     file = lambda name, content=b"x": (name, io.BytesIO(content))
     refused = [
         (400, " k", [file("a.pdf")]), (400, "k", []), (415, "k", [file("a.doc")]), (400, "k", [file("a.pdf"), file("a.png")]), (400, "k", [file("a.pdf", b"")]), (400, "k", [file(".a.pdf")]),
+        (400, "k", [file("a.pdf"), file("a.pdf")]), (400, "k", [file("in/")]), (400, "x" * 201, [file("a.pdf")]), (400, "k", [file("a .pdf")]), (400, "k", [file(None)]),
     ]
     for code, case_id, given in refused:
         with pytest.raises(service.Refused) as e:
             s.upload(case_id, given)
         assert e.value.code == code
-    assert not (tmp_path / "up" / "k").exists()
-    with pytest.raises(service.Refused) as e:
-        service.save_upload(io.BytesIO(b"xx"), tmp_path / "big", most=1)
-    assert e.value.code == 413
+    assert list((tmp_path / "up").iterdir()) == []
+    with pytest.raises(service.Refused) as e, service.Delivery(str(tmp_path / "up"), "big", most=1) as delivery:
+        delivery.take("a.pdf", io.BytesIO(b"xx"))
+    assert e.value.code == 413 and list((tmp_path / "up").iterdir()) == []
     now = s.upload("k", [file("C:\\in\\a.pdf"), file("b.pdf")])
     assert now["running"] and not now["interrupted"] and [d["document_id"] for d in now["docs"]] == ["a", "b"] and now["case_label"]["en"] == "Processing"
-    assert (tmp_path / "up" / "k" / "a.pdf").read_bytes() == b"x"
-    with pytest.raises(RuntimeError):
-        runner.start("k", None)
+    assert (tmp_path / "up" / "k" / "a.pdf").read_bytes() == b"x" and [p.name for p in (tmp_path / "up").iterdir()] == ["k"]
+    with pytest.raises(Busy):
+        runs.submit("k", None)
     with pytest.raises(service.Refused) as e:
         s.upload("k", [file("c.pdf")])
     assert e.value.code == 409 and s.verdict("k")["result"] == "pending" and s.verdict("k")["pending"] == ["a", "b"]
+    (tmp_path / "up" / "taken").mkdir()
+    with pytest.raises(service.Refused) as e:
+        s.upload("taken", [file("c.pdf")])
+    assert e.value.code == 409 and (tmp_path / "up" / "taken").exists()
     gate.set()
-    runner.join("k", 60)
+    runs.submit("none", spark.createDataFrame([("none", "d", "d.pdf", 0)], PLAN)).result(60)  # behind the run of k; not registered, so it breaks off
+    assert runs.live() == set()
     server = service.serve(s, 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    ask = lambda path: json.load(urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}"))
+    ask = lambda path, *body: json.load(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", *body)))
     waits = []
     verdict = service.follow_case(lambda: ask("/api/cases/k"), lambda: ask("/api/cases/k/verdict"), wait=waits.append)
     assert verdict["result"] == "verdict" and verdict["estado"] == "AMARILLO" and waits == [] and len(verdict["docs"]) == 2
     assert ask("/api/health") == {"status": "ok", "model": "m"} and ask("/api/cases")[0]["case_status"] == "RULES_EVALUATED"
     with pytest.raises(urllib.error.HTTPError):
         ask("/api/cases/none")
+    form = b"".join(b'--b\r\nContent-Disposition: form-data; name="files"; filename="%s.pdf"\r\n\r\n%s\r\n' % (n, c) for n, c in ((b"p", b"x" * 200_000), (b"q", b"y"))) + b"--b--\r\n"
+    put = lambda case_id: ask(f"/api/cases?case_id={case_id}", form, {"Content-Type": "multipart/form-data; boundary=b"})
+    assert [d["document_id"] for d in put("posted")["docs"]] == ["p", "q"] and (tmp_path / "up" / "posted" / "p.pdf").stat().st_size == 200_000
+    with pytest.raises(urllib.error.HTTPError) as e:
+        put("posted")
+    assert e.value.code == 409
     server.shutdown()
+    runs.close()
+
+
+class Trickle(io.RawIOBase):
+    """A stream that gives a few bytes at a time and tells the most it was asked for."""
+
+    def __init__(self, data):
+        self.data, self.most = io.BytesIO(data), 0
+
+    def read(self, n=-1):
+        self.most = max(self.most, n)
+        return self.data.read(min(n, 7))
+
+
+@pytest.mark.parametrize("content", [b"", b"\r\n", b"--b", b"\r\n--", bytes(range(256)) * 3])
+def test_multipart(content):
+    raw = b'preamble\r\n--b \r\nContent-Disposition: form-data; name="n"\r\n\r\nno file\r\n--b\r\nContent-Disposition: form-data; filename="\xc3\xa9.pdf"\r\nX: y\r\n\r\n' + content + b"\r\n--b--\r\nepilogue"
+    source = Trickle(raw)
+    got = [(name, b"".join(iter(part.read, b""))) for name, part in service.Multipart(source, 'multipart/form-data; boundary="b"', len(raw)).files()]
+    assert got == [("é.pdf", content)] and source.most <= service.PIECE
+    skipped = [name for name, _ in service.Multipart(Trickle(raw), "multipart/form-data; boundary=b", len(raw)).files()]
+    assert skipped == ["é.pdf"]
+    for bad in (raw[:60], raw[: raw.rindex(b"\r\n--b--")], b""):
+        with pytest.raises(service.Refused):
+            list(service.Multipart(Trickle(bad), "multipart/form-data; boundary=b", len(bad)).files())
+    with pytest.raises(service.Refused):
+        service.Multipart(source, "text/plain", 3)
 
 
 def test_start_problems():

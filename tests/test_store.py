@@ -55,10 +55,66 @@ def test_register_and_move(spark, tables):
         tables.transition(make(("k", "a", "FAILED", "x")).withColumn("expected", F.lit("FAILED")))
     with pytest.raises(store.Conflict):
         tables.append("status", tables.status(), after=1)
-    before = _rows(tables.status())
+    before, last = _rows(tables.status()), tables.last_batch("status")
+    assert _rows(tables.latest("status", to=1)) == sorted((c, d, "RECEIVED", 1, "2025-01-01T00:00:00Z", None) for c, d in (("k", "a"), ("k", "b"), ("other", "a")))
     tables.compact("status")
-    assert _rows(tables.status()) == before and tables.log("status").count() == 3
+    assert _rows(tables.status()) == before and tables.log("status").count() == 3 and tables.last_batch("status") == last + 1
+    tables.vacuum("status")
     assert _rows(store.Store(spark, tables.root).status()) == before
+    tables.transition(make(("k", "b", "FAILED", "x")))
+    assert tables.document("k", "b").first()["stage"] == "FAILED" and tables.case_status("other") == "RECEIVED"
+
+
+def test_two_writers(spark, tables):
+    """Of two writers that judged by the same batch one gets Conflict; nothing of either is lost or written over."""
+    make = lambda *rows: spark.createDataFrame(rows, ASK)
+    tables.register(spark.createDataFrame([("k", d) for d in "abcd"], DOC))
+    other = store.Store(spark, tables.root)
+    publish, met = tables._publish, []
+
+    def late(table, rows, number, kind):
+        """The other writer comes between the first one's judgement and its append."""
+        if not met:
+            met.append(other.last_batch(table))
+            other.transition(make(("k", "a", "OCR_DONE", None)))
+        return publish(table, rows, number, kind)
+
+    tables._publish = late
+    with pytest.raises(store.Conflict):
+        tables.transition(make(("k", "a", "FAILED", "lost")))
+    assert tables.document("k", "a").first()["stage"] == "OCR_DONE"
+    # both write the number before either publishes it
+    met.clear()
+    link, turns = store._linked, []
+
+    def both(*paths):
+        if not turns:
+            turns.append(1)
+            other.append("status", other.judge(make(("k", "b", "OCR_DONE", None))), other.last_batch("status"))
+        return link(*paths)
+
+    store._linked, tables._publish = both, publish
+    try:
+        with pytest.raises(store.Conflict):
+            tables.transition(make(("k", "b", "FAILED", "lost")))
+        turns.clear()
+        number = tables.append("evaluations", spark.createDataFrame([], "case_id string, evaluated_at string, payload string"))
+        assert number == 1 and tables.document("k", "b").first()["stage"] == "OCR_DONE"
+    finally:
+        store._linked = link
+    # ingest and reconcile judge again
+    tables._publish = late
+    files = lambda d: results.successes(spark.createDataFrame([_record(document_id=d)], tables.extractions().schema)).withColumn("problem", F.lit(None).cast("string"))
+    met.clear()
+    other.transition(make(("k", "a", "FAILED", "again"), ("k", "b", "FAILED", "again")))
+    other.transition(make(("k", "a", "RECEIVED", None), ("k", "b", "RECEIVED", None)))
+    assert [r["outcome"] for r in ingest(tables, files("a")).collect()] == ["invalid"] and met  # the other was first
+    met.clear()
+    other.transition(make(("k", "a", "FAILED", "once more")))
+    other.transition(make(("k", "a", "RECEIVED", None)))
+    reconcile(tables, spark.createDataFrame([("k", "a"), ("k", "c")], DOC))
+    stages = {r["document_id"]: (r["stage"], r["attempt_count"], r["error_detail"]) for r in tables.case_documents("k").collect()}
+    assert met and stages == {"a": ("OCR_DONE", 3, None), "b": ("RECEIVED", 2, None), "c": ("FAILED", 1, CRASHED), "d": ("RECEIVED", 1, None)}
 
 
 def test_payloads_come_back(spark, tables):
