@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over as many partitions as there are cores, if a small file has them in fewer: what is made of a key is much
+    larger than the key."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def stage_of(event: Column) -> Column:
     return F.when(event == "error", "FAILED").when(event == "click", "RECEIVED").otherwise("OCR_DONE")
 
@@ -55,7 +62,7 @@ def case_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates, 6 parent too young, 7 a number shared by two names, 8 no third generation, 9 applicant's certificates
     without generation.
     """
-    o = table(spark, sf_dir, "orders").selectExpr(f"o_orderkey div {CASE_SIZE} as c", f"int(o_orderkey % {CASE_SIZE}) as k")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).selectExpr(f"o_orderkey div {CASE_SIZE} as c", f"int(o_orderkey % {CASE_SIZE}) as k")
     pick = lambda values: f"get({sql.texts(values)}, int(c div 10 % {len(values)}))"
     o = o.selectExpr("c", "k", "int(c % 10) as v", f"{pick(GIVEN)} as given", f"{pick(FATHER)} as father")
     number = lambda n: f"concat('{n}-', c)"
