@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Elements whose content is no text of the page, and those among them that go on to the end if nothing ends them.
-RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "select", "title"}
+RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "select", "title", "button"}
 UNENDED = {"script", "style", "title", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -143,7 +143,7 @@ class Tags:
 def parse(page: str) -> Tree:
     """The tree of a page, in time that grows with its length: stray ends are ignored, what is open at the end is closed there.
 
-    Content of scripts, styles, templates, noscript, frames and form fields, and the title, is no text; unknown elements,
+    Content of scripts, styles, templates, noscript, frames, form fields and buttons, and the title, is no text; unknown elements,
     formulas and drawings are text of their place.
     """
     tree = Tree()
@@ -193,7 +193,7 @@ def parse(page: str) -> Tree:
             elif tag == "input":
                 tree.fields[open_.stack[-1][1]] += 1
         elif tag in RAW:
-            if tag in ("textarea", "select"):
+            if tag in ("textarea", "select", "button"):
                 tree.fields[open_.stack[-1][1]] += 1
             if attributes.rstrip().endswith("/"):
                 continue
@@ -207,8 +207,6 @@ def parse(page: str) -> Tree:
                 unended.add(tag)
                 found.at = at = len(page) if tag in UNENDED else at
         else:
-            if tag == "button":
-                tree.fields[open_.stack[-1][1]] += 1
             if tag in BLOCK:
                 flush()
                 if open_.blocks and open_.stack[open_.blocks[-1]][0] == "p":
@@ -247,11 +245,14 @@ NUMBERS = (
     "depth", "order", "siblings", "same_tag", "chars", "share", "before", "link_share", "nodes", "chars_a_node", "marks", "fields", "paragraphs", "long_share",
     "parent_share", "children", "has_heading", "copyright", "mean_block", "longest", "previous_chars", "next_chars",
 )
-N_FEATURES = len(TAGS) + 2 * _N_GROUPS + len(NUMBERS) + len(TAGS)
+#: Groups of tags of which a node is told whether it is anywhere below one.
+WITHIN = tuple(TAGS.index(t) for t in ("article", "main", "section", "list", "table", "nav", "header", "footer", "aside", "form", "quote", "figure"))
+N_FEATURES = len(TAGS) + 2 * _N_GROUPS + len(NUMBERS) + len(TAGS) + len(WITHIN)
 
 
 def features(tree: Tree) -> np.ndarray:
-    """[node, feature]: tag, own and inherited attribute tokens, subtree density, depth, sibling statistics, parent tag."""
+    """[node, feature]: tag, own and inherited attribute tokens, subtree density, depth, sibling statistics, tag of the
+    parent, tags of all ancestors."""
     n = len(tree.tag)
     parent = np.array(tree.parent)
     tag = np.array([_TAG_GROUP.get(t, _OTHER) for t in tree.tag])
@@ -315,4 +316,8 @@ def features(tree: Tree) -> np.ndarray:
     one_hot = np.zeros((n, len(TAGS)), np.float32)
     one_hot[np.arange(n), tag] = 1
     above = one_hot[up]
-    return np.concatenate([one_hot, own, inherited, numbers.astype(np.float32), above], axis=1)
+    bits, below = (1 << tag).tolist(), [0] * n
+    for k in range(1, n):
+        below[k] = below[plist[k]] | bits[plist[k]]
+    within = (np.array(below)[:, None] >> np.array(WITHIN)) & 1
+    return np.concatenate([one_hot, own, inherited, numbers.astype(np.float32), above, within.astype(np.float32)], axis=1)

@@ -27,7 +27,7 @@ from casegraph.llm.common import bounded_batches
 from casegraph.llm.html_dom import Tree, features, parse
 
 MAIN, OUT, MIXED = 0, 1, 2
-TRAIN_PAGES, SEED = 800, 5
+TRAIN_PAGES, SEED = 1600, 5
 FILE = Path(__file__).with_name("html_trees.npz")
 
 
@@ -140,6 +140,25 @@ class _Maker:
     def share(self) -> str:
         return f"<div{self.attributes(('share', 'social', 'sharing', 'social-links', 'share-tools'), 1)}>{self.links(self.r.randint(2, 5))}</div>"
 
+    def points(self) -> str:
+        """A list of the main text; in half of them items are links, or have one."""
+        r, mark = self.r, self.MARK
+        link = lambda: f'<a href="/{self.word()}">{self.words(1, 6)}</a>'
+        item = r.choice((
+            lambda: self.words(2, 20), lambda: self.words(2, 20), lambda: self.sentence(), link, lambda: f"{self.words(1, 9)} {link()}", lambda: f"{link()} {self.words(1, 12)}",
+            lambda: f"<p>{mark}{self.words(2, 9)} {link()}</p>",
+        ))
+        tag = r.choice(("ul", "ul", "ol"))
+        items = (x if "<p>" in (x := item()) else mark + x for _ in range(r.randint(1, 8)))
+        return f"<{tag}>{''.join(f'<li>{x}' + ('</li>' if r.random() < 0.9 else '') for x in items)}</{tag}>"
+
+    def bare(self) -> str:
+        """What isn't main text within an article and has nothing but its tag to tell it by."""
+        r = self.r
+        inner = r.choice((f"<p>{self.sentence()}</p>", self.sentence(), f"<h3>{self.words(1, 4)}</h3><p>{self.sentence()}</p>", self.paragraph(False), self.links(r.randint(1, 5))))
+        form = f"<form><label>{self.words(1, 4)}</label><input>" + r.choice(("", f"<p>{self.sentence()}</p>", f"<select><option>{self.word()}</select>")) + f"<button>{self.words(1, 2)}</button></form>"
+        return r.choice((f"<aside>{inner}</aside>", f"<aside>{inner}</aside>", form, f"<nav>{self.links(r.randint(1, 5))}</nav>", f"<footer>{self.sentence()}</footer>", f"<form>{self.sentence()}<input></form>"))
+
     def article(self) -> str:
         r, mark = self.r, self.MARK
         head = f"<h1>{mark}{self.words(2, 12)}</h1>"
@@ -150,14 +169,15 @@ class _Maker:
         for _ in range(r.randint(0, 2)):
             extra = r.choice((
                 f"<h2>{mark}{self.words(2, 8)}</h2>",
-                f"<ul>{''.join(f'<li>{mark}{self.words(2, 20)}</li>' for _ in range(r.randint(2, 6)))}</ul>",
+                self.points(),
+                self.points(),
                 f"<blockquote>{self.paragraph(True)}</blockquote>",
                 f"<pre>{mark}{self.words(4, 30)}</pre>",
                 f"<table>{''.join(f'<tr><td>{mark}{self.words(1, 3)}</td><td>{mark}{self.words(1, 3)}</td></tr>' for _ in range(r.randint(2, 5)))}</table>",
                 f"<figure><img src=x><figcaption>{mark}{self.words(3, 12)}</figcaption></figure>",
             ))
             body.insert(r.randint(0, len(body)), extra)
-        for make, chance in ((self.advert, 0.3), (self.share, 0.12), (self.form, 0.12), (self.notice, 0.08), (self.sidebar, 0.08)):
+        for make, chance in ((self.advert, 0.3), (self.share, 0.12), (self.form, 0.12), (self.notice, 0.08), (self.sidebar, 0.08), (self.bare, 0.3), (self.bare, 0.15)):
             if r.random() < chance:
                 body.insert(r.randint(0, len(body)), make())
         if r.random() < 0.12:
