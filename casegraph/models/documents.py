@@ -1,20 +1,22 @@
 """Reading, classifying and taking fields of documents as one plan: pages, model replies, extraction records.
 
-A file becomes a row for each page; pages with a text layer need no model, the others are a branch of their own that asks
-the vision model. A document's pages meet again by one shuffle of their texts; pictures are never shuffled. Errors stay
-with their document, as `error_detail`.
+A file becomes a row for each page in one pass that opens it once: pages with a text layer need no model, of the others
+several are asked about at a time, and their pictures don't leave the task. A document's pages meet again by one shuffle
+of their texts; contents and pictures are never shuffled. Errors stay with their document, as `error_detail`.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import form_block
+from casegraph.models.client import Asker, Calls, in_order
 from casegraph.models.vision import Reading, read_picture
 from casegraph.operators.replies import classify, extract_fields
 from casegraph.sources.files import file_problem, form_fields, installed_reader, page_text, suffix_of, xfa_fields
@@ -38,68 +40,58 @@ def _arrow(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, list(_NAMES))
 
 
-def explode_pages(files: DataFrame, how: Reading | None = None, reader: Callable | None = None) -> DataFrame:
-    """A row for each page of `files` (case_id, document_id, path, length, content): its text, or a picture to be read, and the form
-    data with the first page. A file that can't be taken has one row with number 0 and an error."""
-    how = how or Reading()
-
-    def pages_of(case_id: str, document_id: str, path: str, content: bytes, problem: str | None):
-        own = {"case_id": case_id, "document_id": document_id, "path": path}
-        begin = time.monotonic()
-        try:
-            if problem:
-                raise ValueError(problem)
-            if not path.lower().endswith(".pdf"):
-                yield own | {"number": 1, "pages": 1, "picture": content, "is_png": path.lower().endswith(".png"), "seconds": time.monotonic() - begin}
-                return
-            pages, xml = (reader or installed_reader())(content)
-            if not pages:
-                raise ValueError("the PDF has no pages")
-            forms = {"acroform": form_fields(pages), "xfa": xfa_fields(xml)}
-            for number, page in enumerate(pages, 1):
-                text = page_text(page)
-                enough = how.use_text_layer and len(text) >= how.min_text
-                seen = {"text": text} if enough else {"picture": page.png(how.dpi), "is_png": True}
-                yield own | (forms if number == 1 else {}) | seen | {"number": number, "pages": len(pages), "seconds": time.monotonic() - begin}
-                begin = time.monotonic()
-        except Exception as e:
-            yield own | {"number": 0, "seconds": time.monotonic() - begin, "error_detail": _error(e)}
+def _pages_of(file: tuple, how: Reading, reader: Callable | None) -> Iterator[dict]:
+    """The pages of a file (case_id, document_id, path, content, problem), one with number 0 and an error if it can't be taken."""
+    case_id, document_id, path, content, problem = file
+    own = {"case_id": case_id, "document_id": document_id, "path": path}
+    begin = time.monotonic()
+    try:
+        if problem:
+            raise ValueError(problem)
+        if not path.lower().endswith(".pdf"):
+            yield own | {"number": 1, "pages": 1, "picture": content, "is_png": path.lower().endswith(".png"), "seconds": time.monotonic() - begin}
+            return
+        pages, xml = (reader or installed_reader())(content)
+        if not pages:
+            raise ValueError("the PDF has no pages")
+        forms = {"acroform": form_fields(pages), "xfa": xfa_fields(xml)}
+        for number, page in enumerate(pages, 1):
+            text = page_text(page)
+            enough = how.use_text_layer and len(text) >= how.min_text
+            seen = {"text": text} if enough else {"picture": page.png(how.dpi), "is_png": True}
+            yield own | (forms if number == 1 else {}) | seen | {"number": number, "pages": len(pages), "seconds": time.monotonic() - begin}
+            begin = time.monotonic()
+    except Exception as e:
+        yield own | {"number": 0, "seconds": time.monotonic() - begin, "error_detail": _error(e)}
+
+
+def read_pages(files: DataFrame, make_client: Callable[[], Callable[..., str]] | None, how: Reading | None = None, reader: Callable | None = None, calls: Calls | None = None) -> DataFrame:
+    """A row for each page of `files` (case_id, document_id, path, length, content): its text, the form data with the first
+    page, and `rotation` of pages that the model read. A file that can't be taken has one row with number 0 and an error;
+    an error of a page stays with it. Without `make_client` pictures are given as they are, unread.
+
+    Order of pages is that of the file; no more pictures than `calls.width` are in memory, whatever a file's pages.
+    """
+    how, calls = how or Reading(), calls or Calls()
 
     def run(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for page in pages_of(*row):  # one page's picture at a time
-                    yield _arrow([page])
-
-    problem = file_problem(F.col("path"), F.col("length"))
-    return files.select("case_id", "document_id", "path", "content", problem.alias("problem")).mapInArrow(run, _PAGES)
+        asker = Asker(make_client, calls) if make_client else None
 
+        def seen(page: dict) -> dict:
+            if asker is None or page.get("picture") is None:
+                return page
+            begin = time.monotonic()
+            told, error = asker.ask(lambda client: read_picture(client, page["picture"], page["is_png"], how))
+            text, rotation = told or (None, None)
+            return page | {"picture": None, "text": text, "rotation": rotation, "error_detail": error, "seconds": page["seconds"] + time.monotonic() - begin}
 
-def read_pages(pages: DataFrame, make_client: Callable[[], Callable[..., str]], how: Reading | None = None) -> DataFrame:
-    """`pages` with the texts of pictures read, and `rotation`; an error stays with its page."""
-    how = how or Reading()
-    kind = f"{_PAGES}, rotation string"
+        files_ = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        for page in in_order((p for f in files_ for p in _pages_of(f, how, reader)), seen, calls.width if asker else 1):
+            plain = _arrow([page])
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([page.get("rotation")], pa.string())], [*_NAMES, "rotation"])
 
-    def run(batches):
-        client = None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                begin = time.monotonic()
-                row["acroform"], row["xfa"] = (dict(row[c]) if row[c] is not None else None for c in ("acroform", "xfa"))
-                try:
-                    client = client or make_client()
-                    row["text"], row["rotation"] = read_picture(client, row["picture"], row["is_png"], how)
-                except Exception as e:
-                    row["error_detail"] = _error(e)
-                row["picture"] = None
-                row["seconds"] += time.monotonic() - begin
-                out.append(row)
-            plain = _arrow(out)
-            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([r.get("rotation") for r in out], pa.string())], [*_NAMES, "rotation"])
-
-    asked = pages.where(F.col("picture").isNotNull()).mapInArrow(run, kind)
-    return asked.unionByName(pages.where(F.col("picture").isNull()).withColumn("rotation", F.lit(None).cast("string")))
+    problem = file_problem(F.col("path"), F.col("length"))
+    return files.select("case_id", "document_id", "path", "content", problem.alias("problem")).mapInArrow(run, f"{_PAGES}, rotation string")
 
 
 def _headed(number: Column, text: Column, rotation: Column, by_model: Column) -> Column:
@@ -137,15 +129,18 @@ def assemble(pages: DataFrame) -> DataFrame:
     return told.select("case_id", "document_id", "path", F.when(error.isNull(), one).alias("extraction"), "processing_seconds", error.alias("error_detail"))
 
 
-def process_documents(files: DataFrame, make_client, classifier, extractor, model_name: str, how: Reading | None = None, reader=None, moment: Column | None = None) -> DataFrame:
+def process_documents(files: DataFrame, make_client, classifier, extractor, model_name: str, how: Reading | None = None, reader=None, moment: Column | None = None, calls: Calls | None = None) -> DataFrame:
     """Result records (see sources.results) of `files`: an extraction record, or the error, of each.
 
     `classifier` and `extractor` are models as replies.classify and replies.extract_fields take them. What a model has
-    said is written before anything looks at it, so no call is made twice for the branches that follow.
+    said is written before anything looks at it, so no call is made twice for the branches that follow. A call that
+    fails is its document's error.
     """
-    read = stash(assemble(read_pages(explode_pages(files, how, reader), make_client, how)), "documents-read")
+    read = stash(assemble(read_pages(files, make_client, how, reader, calls)), "documents-read")
     good = read.where(F.col("error_detail").isNull()).withColumn("extracted_text", F.col("extraction.extracted_text"))
     kinds = stash(classify(good, classifier), "documents-classified")
-    told = extract_fields(kinds, extractor).drop("extracted_text", "error_detail").withColumn("model_name", F.lit(model_name))
-    records = stash(envelope(told, moment), "documents-records")
-    return successes(records).unionByName(failures(read.where(F.col("error_detail").isNotNull()).select("case_id", "document_id", "error_detail")))
+    asked = kinds.where(F.col("model_error").isNull()).drop("model_error")
+    told = stash(extract_fields(asked, extractor), "documents-told")
+    done = told.where(F.col("model_error").isNull()).drop("extracted_text", "error_detail", "model_error").withColumn("model_name", F.lit(model_name))
+    failed = (df.select("case_id", "document_id", F.concat(F.lit(what), F.col(error)).alias("error_detail")).where(F.col("error_detail").isNotNull()) for df, what, error in ((read, "", "error_detail"), (kinds, "classification: ", "model_error"), (told, "field extraction: ", "model_error")))
+    return reduce(DataFrame.unionByName, (successes(envelope(done, moment)), *map(failures, failed)))

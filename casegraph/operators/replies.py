@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import MapType, StringType, StructType
 
 from casegraph.config import DOCUMENT_TYPES, GENERATIONS
 from casegraph.functions.text import FENCE, IMAGE_LINK, resolve_label, strip_page_headers, strip_white
@@ -72,8 +72,16 @@ def parse_fields(reply: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([fields_of_reply(r, k) for r, k in zip(reply, kind, strict=True)], dtype=object)
 
 
+def _told_apart(asked: DataFrame) -> DataFrame:
+    """`_raw` as the reply, and `model_error`: why there is none, where the model's function tells it."""
+    if isinstance(asked.schema["_raw"].dataType, StructType):
+        return asked.withColumn("model_error", F.col("_raw.error")).withColumn("_raw", F.col("_raw.reply"))
+    return asked.withColumn("model_error", F.lit(None).cast("string"))
+
+
 def classify(docs: DataFrame, model, text: str = "extracted_text", most: int = MAX_CHARS, least: int = MIN_CHARS) -> DataFrame:
-    """`docs` with struct classification(document_type, generation, confidence, raw_response).
+    """`docs` with struct classification(document_type, generation, confidence, raw_response) and model_error, null for
+    rows that the model answered.
 
     Blank documents are EMPTY without a call: they are a branch of their own, since a condition around a Python
     function doesn't keep Spark from calling it. `model` takes a column of texts (cut to `most`) and gives replies.
@@ -83,20 +91,21 @@ def classify(docs: DataFrame, model, text: str = "extracted_text", most: int = M
     def told(kind: Column, generation: Column, raw: Column) -> Column:
         return F.struct(kind.alias("document_type"), generation.alias("generation"), F.lit(1.0).alias("confidence"), raw.alias("raw_response"))
 
-    empty = docs.where(blank).withColumn("classification", told(F.lit("EMPTY"), F.lit(None).cast("string"), F.lit("")))
-    asked = docs.where(~blank).withColumn("_raw", model(F.substring(F.col(text), 1, most)))
+    none = F.lit(None).cast("string")
+    empty = docs.where(blank).withColumn("classification", told(F.lit("EMPTY"), none, F.lit(""))).withColumn("model_error", none)
+    asked = _told_apart(docs.where(~blank).withColumn("_raw", model(F.substring(F.col(text), 1, most))))
     parsed = asked.withColumn("_told", parse_classification(F.col("_raw")))
     full = parsed.withColumn("classification", told(F.col("_told.document_type"), F.col("_told.generation"), F.col("_raw"))).drop("_raw", "_told")
     return full.unionByName(empty)
 
 
 def extract_fields(docs: DataFrame, model, text: str = "extracted_text", most: int = MAX_CHARS) -> DataFrame:
-    """`docs` (with classification) with struct field_extraction(fields, raw_response); only identity documents and
-    birth certificates are asked about. `model` takes a column of texts and one of types."""
+    """`docs` (with classification) with struct field_extraction(fields, raw_response) and model_error; only identity
+    documents and birth certificates are asked about. `model` takes a column of texts and one of types."""
     wanted = F.coalesce(F.col("classification.document_type").isin("ID_DOCUMENT", "BIRTH_CERT"), F.lit(False))
     nothing = F.struct(F.create_map().cast("map<string,string>").alias("fields"), F.lit("").alias("raw_response"))
-    rest = docs.where(~wanted).withColumn("field_extraction", nothing)
+    rest = docs.where(~wanted).withColumn("field_extraction", nothing).withColumn("model_error", F.lit(None).cast("string"))
     kind = F.col("classification.document_type")
-    asked = docs.where(wanted).withColumn("_raw", model(F.substring(F.col(text), 1, most), kind))
+    asked = _told_apart(docs.where(wanted).withColumn("_raw", model(F.substring(F.col(text), 1, most), kind)))
     full = asked.withColumn("field_extraction", F.struct(parse_fields(F.col("_raw"), kind).alias("fields"), F.col("_raw").alias("raw_response"))).drop("_raw")
     return full.unionByName(rest)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ElementTree
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
@@ -74,12 +76,34 @@ def file_problem(path: Column, length: Column) -> Column:
     )
 
 
+def _any_case(suffix: str) -> str:
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, content, problem of the files right in `folder`; the content of one with a problem isn't read."""
-    known = list_files(spark, folder)
+    """path, length, content, problem of the files right in `folder`; the content of one with a problem isn't read.
+
+    Contents stay in the partitions that read them: suffixes and sizes are told by the listing, and files with a problem,
+    which a listing on the driver finds, are added without content. Hidden files have no row.
+    """
+    readers = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{','.join(map(_any_case, SUFFIXES))}}}")
+    good = readers.load(folder).where(F.col("length").between(1, MOST_MEGABYTES << 20))
+    known = list_files(spark, folder).where(~F.element_at(F.split("path", "/"), -1).startswith("."))
     known = known.withColumn("problem", file_problem(F.col("path"), F.col("length")))
-    content = spark.read.format("binaryFile").load(folder).where(F.col("length") <= MOST_MEGABYTES * 1024 * 1024).select("path", "content")
-    return known.join(content.join(known.where(F.col("problem").isNull()).select("path"), "path", "left_semi"), "path", "left").select("path", "length", "content", "problem")
+    bad = known.where(F.col("problem").isNotNull()).select("path", "length", F.lit(None).cast("binary").alias("content"), "problem")
+    out = good.select("path", "length", "content", F.lit(None).cast("string").alias("problem")).unionByName(bad)
+    # Spark's reader leaves out names that begin with an underscore
+    marked = known.where(F.col("problem").isNull() & F.element_at(F.split("path", "/"), -1).startswith("_")).select("path", "length")
+    return out.unionByName(marked.mapInArrow(_contents, "path string, length long, content binary").withColumn("problem", F.lit(None).cast("string")))
+
+
+def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of files by path, a file at a time."""
+    for batch in batches:
+        for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, name = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+            with store.open_input_file(name) as source:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([source.read()], pa.binary())], ["path", "length", "content"])
 
 
 class Page(Protocol):

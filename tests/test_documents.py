@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from casegraph.models import client, documents, vision
+from casegraph.operators import replies
 from casegraph.sources import files
 
 DOC = "case_id string, document_id string"
@@ -35,8 +36,13 @@ def test_file_checks(spark, tmp_path):
     (tmp_path / "empty.pdf").write_bytes(b"")
     (tmp_path / "good.png").write_bytes(b"png")
     (tmp_path / "odd.doc").write_bytes(b"x")
+    (tmp_path / "_marked.PdF").write_bytes(b"pdf")
+    (tmp_path / ".hidden.pdf").write_bytes(b"x")
+    read = files.read_documents(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # contents aren't shuffled
     got = {r["path"].rsplit("/", 1)[-1]: (r["content"], r["problem"]) for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got["good.png"] == (b"png", None) and got["empty.pdf"] == (None, "empty file") and got["odd.doc"] == (None, "unsupported file type .doc")
+    assert len(got) == 4 and got["_marked.PdF"] == (b"pdf", None) and got["good.png"] == (b"png", None) and got["empty.pdf"] == (None, "empty file") and got["odd.doc"] == (None, "unsupported file type .doc")
     limit = files.MOST_MEGABYTES << 20
     sizes = spark.createDataFrame([("a.pdf", limit), ("a.pdf", limit + 1)], "path string, length long")
     assert [r[0] for r in sizes.select(files.file_problem(F.col("path"), F.col("length"))).collect()] == [None, "larger than 50 MB"]
@@ -107,6 +113,65 @@ def test_documents_from_files_to_records(spark):
     assert picture["extraction"]["extracted_text"] == "seen 9" and picture["extraction"]["file_type"] == "image" and picture["field_extraction"]["fields"] == {}
 
 
+def test_files_are_opened_once_and_calls_overlap(spark, tmp_path):
+    log = str(tmp_path / "opened")
+
+    def reader(content):
+        with open(log, "a") as out:
+            out.write(content.decode() + "\n")
+        return [_Page() for _ in range(12)], None
+
+    class Slow:
+        def __init__(self):
+            import threading
+
+            self.now, self.most, self.calls, self.lock = 0, 0, 0, threading.Lock()
+
+        def __call__(self, messages, max_tokens, temperature=0.0, extra=None):
+            import time
+
+            with self.lock:
+                self.calls += 1
+                number, self.now = self.calls, self.now + 1
+                self.most = max(self.most, self.now)
+            time.sleep(0.05 if number % 2 else 0.01)
+            with self.lock:
+                self.now -= 1
+            if number == 5:
+                raise OSError("once")
+            return f"call {number} of {self.most}"
+
+    df = spark.createDataFrame([("k", d, f"/in/{d}.pdf", 1, d.encode()) for d in "ab"], f"{DOC}, path string, length long, content binary").coalesce(1)
+    pages = documents.read_pages(df, Slow, vision.Reading(), reader, client.Calls(4, 2, 1, 0.0))
+    assert pages._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = pages.collect()
+    assert [(r["document_id"], r["number"]) for r in rows] == [(d, n) for d in "ab" for n in range(1, 13)] and open(log).read() == "a\nb\n"
+    assert all(r["error_detail"] is None for r in rows) and max(int(r["text"].split()[-1]) for r in rows) == 4
+
+
+def test_one_call_fails_alone():
+    tried = []
+
+    def call(which):
+        def run(_):
+            tried.append(which)
+            if which == "bad" or which == "once" and tried.count("once") == 1:
+                raise OSError(which)
+            if which == "refused":
+                raise client.Unauthorised("401")
+            return which
+
+        return run
+
+    asker = client.Asker(lambda: None, client.Calls(2, 3, 3, 0.0))
+    told = list(client.in_order(["a", "once", "bad", "refused", "b"], lambda w: asker.ask(call(w)), 2))
+    assert told == [("a", None), ("once", None), (None, "OSError: bad"), (None, "Unauthorised: 401"), ("b", None)]
+    assert (tried.count("once"), tried.count("bad"), tried.count("refused")) == (2, 3, 1)
+    assert asker.ask(call("bad")) == (None, "OSError: bad") and tried.count("bad") == 4  # the budget is used up
+    with pytest.raises(ValueError):
+        client.Calls(width=0)
+
+
 def test_rotation_and_pictures():
     calls = []
 
@@ -158,8 +223,15 @@ def test_token_file(tmp_path):
 def test_models_for_replies(spark):
     make = lambda: lambda messages, most, temperature=0.0, extra=None: messages[0]["content"] + str(most)
     row = spark.createDataFrame([("text", "ID_DOCUMENT")], "t string, k string")
-    assert row.select(client.asked_of(make, "<{text}>", 3)(F.col("t"))).first()[0] == "<text>3"
-    assert row.select(client.asked_by_type(make, {"ID_DOCUMENT": "id {text} "}, 4)(F.col("t"), F.col("k"))).first()[0] == "id text 4"
+    assert row.select(client.asked_of(make, "<{text}>", 3)(F.col("t"))).first()[0] == ("<text>3", None)
+    assert row.select(client.asked_by_type(make, {"ID_DOCUMENT": "id {text} "}, 4)(F.col("t"), F.col("k"))).first()[0] == ("id text 4", None)
+
+    def breaks():
+        raise OSError("no service")
+
+    docs = row.select(F.col("t").alias("extracted_text"), F.lit("k").alias("case_id"), F.lit("d").alias("document_id"))
+    docs = docs.withColumn("extracted_text", F.repeat("extracted_text", 100))
+    assert replies.classify(docs, client.asked_of(breaks, "{text}", 3, how=client.Calls(tries=1))).first()["model_error"] == "OSError: no service"
 
 
 def test_pictures_need_a_library_or_are_turned():
