@@ -10,11 +10,12 @@ from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from casegraph.sources.shared import located
+
 # Suffixes and types of image files, the largest file in megabytes.
 IMAGES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".tiff": "image/tiff", ".tif": "image/tiff"}
 SUFFIXES = (".pdf", *IMAGES)
@@ -101,7 +102,7 @@ def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The content of files by path, a file at a time."""
     for batch in batches:
         for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            store, name = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+            store, name = located(path)
             with store.open_input_file(name) as source:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([source.read()], pa.binary())], ["path", "length", "content"])
 

@@ -10,9 +10,34 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it, for tasks; `file:/x` is taken as Hadoop writes it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
+
+
+def is_file(uri: str) -> bool:
+    store, path = located(uri)
+    return store.get_file_info(path).type == pyarrow.fs.FileType.File
+
+
+def drop_file(uri: str) -> None:
+    """Delete a file, if it is there."""
+    if is_file(uri):
+        store, path = located(uri)
+        store.delete_file(path)
+
+
+def drop_table(df: DataFrame, path: str) -> None:
+    """Delete a stashed table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local session gets an own folder, and any other an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -41,8 +66,13 @@ def replace_file(path: str, text: str) -> None:
         raise
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: it is computed once, and lost executors cost no more than a read."""
+def stash_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write `df` to the shared folder and read it again, and where it is; whoever asks for it may delete it (drop_table)."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again: it is computed once, and lost executors cost no more than a read."""
+    return stash_at(df, name)[0]

@@ -16,6 +16,7 @@ from casegraph.operators.orchestration import Busy, CaseRuns, Drive, local_job,
 from casegraph.sources.results import failures
 from casegraph.sources.store import DocumentMissing, Store
 from casegraph.streaming.ingest import CRASHED
+from casegraph.streaming.machine import Patience
 
 PLAN = "case_id string, document_id string, path string, position int"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,26 +61,75 @@ def test_rounds(spark, tables):
         Drive(at_a_time=0)
 
 
-def test_remote_job(spark, tables, tmp_path):
-    spool = tmp_path / "spool"
+class Jobs:
+    """Jobs that are files of a folder: what a document's name says happens to its job. Time is a number in a file."""
 
-    def submit(case_id, document_id, path, result):
+    def __init__(self, folder):
+        self.folder = folder
+
+    def _log(self, what, number):
+        with open(f"{self.folder}/log", "a") as out:
+            out.write(f"{what} {number}\n")
+
+    def now(self):
+        with open(f"{self.folder}/time") as source:
+            return float(source.read())
+
+    def submit(self, case_id, document_id, path, result):
+        import pathlib
+
+        self._log("submit", document_id)
         if document_id == "none":
             raise ConnectionError("no cluster")
-        if document_id == "good":
-            target = __import__("pathlib").Path(result)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(json.dumps({"ok": True, "case_id": case_id, "document_id": document_id, "result": work(case_id, document_id, path)}))
-        return "7"
-
-    documents = spark.createDataFrame([("k", d, f"{d}.pdf", k) for k, d in enumerate(("good", "none", "silent"))], PLAN)
+        if document_id in ("good", "failed"):
+            self.leave(case_id, document_id, path, pathlib.Path(result))
+        return document_id
+
+    def leave(self, case_id, document_id, path, target):
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(json.dumps({"ok": True, "case_id": case_id, "document_id": document_id, "result": work(case_id, document_id, path)}))
+
+    def poll(self, number):
+        self._log("poll", number)
+        if number == "deaf" or number == "hard" and self.now() < 40:
+            raise OSError("no answer")
+        return None if number in ("slow", "hard") and self.now() < 1000 + 1e6 * (number == "slow") else "FAILED" if number == "failed" else "SUCCEEDED"
+
+    def stop(self, number):
+        self._log("stop", number)
+
+
+@pytest.mark.parametrize("at_a_time", [100, 3])
+def test_remote_jobs(spark, tables, tmp_path, at_a_time):
+    spool, jobs = tmp_path / "spool", Jobs(str(tmp_path))
+    (tmp_path / "time").write_text("0")
+    names = ("good", "none", "silent", "late", "deaf", "hard", "slow", "failed", "a/b")
+    documents = spark.createDataFrame([("k", d, f"{d}.pdf", k) for k, d in enumerate(names)], PLAN)
     (spool / "k").mkdir(parents=True)
     (spool / "k" / "silent.json").write_text("of an earlier attempt")
     tables.register(documents)
-    told = process_documents(tables, documents, remote_job(submit, lambda number: "SUCCEEDED", str(spool)), Drive(3, 1)).collect()
-    assert [(r["stage"], r["error_detail"]) for r in told] == [
-        ("OCR_DONE", None), ("FAILED", "launch failed: ConnectionError: no cluster"), ("FAILED", "the job ended SUCCEEDED without a result file"),
-    ]
+    rounds = []
+
+    def sleep(seconds):
+        """Ten seconds at first, then minutes; the late file comes in the time of grace."""
+        rounds.append(seconds)
+        now = jobs.now() + (10 if len(rounds) < 12 else 300)
+        (tmp_path / "time").write_text(str(now))
+        log = (tmp_path / "log").read_text()
+        if "poll late" in log and not (spool / "k" / "late.json").exists() and len(rounds) > log[: log.index("poll late")].count("poll silent") + 3:
+            jobs.leave("k", "late", "late.pdf", spool / "k" / "late.json")
+
+    job = remote_job(jobs, str(spool), Patience(1800, 120, 5), at_a_time, 10.0, 4, jobs.now, sleep)
+    told = {r["document_id"]: (r["stage"], r["error_detail"]) for r in process_documents(tables, documents, job, Drive(3, 1)).collect()}
+    assert told == {
+        "good": ("OCR_DONE", None), "none": ("FAILED", "launch failed: ConnectionError: no cluster"), "silent": ("FAILED", "the job ended SUCCEEDED without a result file"),
+        "late": ("OCR_DONE", None), "deaf": ("FAILED", "the job could not be polled 5 times in a row: OSError: no answer"), "hard": ("FAILED", "the job ended SUCCEEDED without a result file"),
+        "slow": ("FAILED", "the job still runs after 1800 s"), "failed": ("OCR_DONE", None), "a/b": ("FAILED", "launch failed: ids that can't be a path"),
+    }
+    log = (tmp_path / "log").read_text().splitlines()
+    assert [x for x in log if x.startswith("stop")] == ["stop slow"] and log.count("poll deaf") == 5 and log.count("submit good") == 1 and set(rounds) == {10.0}
+    begun = log[: next(k for k, x in enumerate(log) if x.startswith("poll"))]
+    assert len(set(begun) - {"submit none"}) <= at_a_time
 
 
 def test_service(spark, tables, tmp_path):
