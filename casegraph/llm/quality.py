@@ -2,29 +2,35 @@
 
 View `content` sees the text: hashed character pairs of several kinds and measures of the writing. View `metadata` sees
 what a crawl knows about the page besides its words: source, language, length, and the shape of its lines. Each view's
-logistic regression is fitted on the labelled rows; then, for some rounds, each view scores a pool of unlabelled rows
-and hands those it is surest of, with its own verdict as label, to the other view. The views are calibrated by Platt
+logistic regression is fitted on the labelled rows; then, for some rounds, each view scores all unlabelled rows
+and hands the few it is surest of, with its own verdict as label, to the other view, if verdicts as sure as these are right
+on labelled rows kept apart: a weak view's errors, handed over, would spoil a better one. The views are calibrated by Platt
 scaling on labelled rows kept apart, and combined by the weights that fit those rows best; all documents are scored.
 
-Models are fitted on the driver from bounded samples of feature vectors, never of texts; scoring covers every row.
+Models are fitted on the driver from bounded sets of feature vectors, never of texts; every round and the final scoring
+cover every row.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.common import bounded_batches
 
-#: Rows, in expectation, of the labelled sample (a third of it for calibration) and of the unlabelled pool.
-LABELLED_ROWS, POOL_ROWS = 4000, 4000
-ROUNDS, HANDED = 4, 0.1
+#: Rows, in expectation, of the labelled sample (a third of it for calibration).
+LABELLED_ROWS = 4000
+#: Rounds, and rows that a view hands over in one at most, the surest of all unlabelled rows.
+ROUNDS, HANDED = 3, 400
+#: How often a view's verdicts of some confidence have to be right, on labelled rows kept apart, for it to hand them over.
+SURE = 0.98
 PAIR_BUCKETS, SOURCE_BUCKETS = 256, 64
 #: Characters of a class are told apart only by the class.
 CLASSES = 12
@@ -142,32 +148,40 @@ class CoTrained:
         return _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, handed: float = HANDED) -> CoTrained:
-    """Co-train on labelled rows (a third kept for calibration) and an unlabelled pool."""
+def sure_from(logits: np.ndarray, right: np.ndarray, sure: float = SURE) -> float:
+    """The least logit from which verdicts are right as often as `sure`, one more wrong one allowed for; infinite if none is."""
+    order = np.argsort(-logits, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    enough = (np.cumsum(~right[order]) + 1) / (n + 2) <= 1 - sure
+    return float(logits[order[np.flatnonzero(enough)[-1]]]) if enough.any() else np.inf
+
+
+#: What `surest` gives of a row: view and label of the verdict, and the features of both views.
+Handed = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: Callable[[list[Logistic], list[tuple[float, float]], tuple[int, int]], list[Handed]], rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """Co-train on labelled rows (a third kept for calibration). `surest` takes both views' models, for each view the
+    least sureness of a good and of a bad row, and how many of each; it gives unlabelled rows that it hasn't given before."""
     aside = np.arange(len(y)) % 3 == 2 if len(y) >= 30 else np.zeros(len(y), bool)
     fit, check = ~aside, aside if aside.any() else ~aside
-    views, free = (content[fit], metadata[fit]), np.ones(len(pool[0]), bool)
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0)) for _ in views]
+    views, all_views = (content[fit], metadata[fit]), (content, metadata)
+    extra: list[list[tuple[np.ndarray, int]]] = [[], []]
 
     def fitted(models) -> list[Logistic]:
-        return [fit_logistic(np.r_[v, p[rows]], np.r_[y[fit], labels], start=m) for m, v, p, (rows, labels) in zip(models, views, pool, extra, strict=True)]
+        rows = ((np.r_[v, np.stack([x for x, _ in more])] if more else v, np.r_[y[fit], [label for _, label in more]]) for v, more in zip(views, extra, strict=True))
+        return [fit_logistic(x, labels, start=m) for m, (x, labels) in zip(models, rows, strict=True)]
 
     models = fitted((None, None))
     share = y[fit].mean()
     for _ in range(rounds):
-        if not free.any():
+        known = [m.logit(x[check]) for m, x in zip(models, all_views, strict=True)]
+        least = [(sure_from(z, y[check] == 1), sure_from(-z, y[check] == 0)) for z in known]
+        found = surest(models, least, (round(handed * share), round(handed * (1 - share)))) if np.isfinite(least).any() else []
+        if not found:
             break
-        for k in (0, 1):
-            at = np.flatnonzero(free)
-            if not len(at):
-                break
-            p = _sigmoid(models[k].logit(pool[k][at]))
-            n = max(2, int(handed * len(at)))
-            good, bad = np.argsort(-p, kind="stable")[: round(n * share)], np.argsort(p, kind="stable")[: round(n * (1 - share))]
-            good, bad = good[p[good] > 0.9], bad[p[bad] < 0.1]
-            rows, labels = extra[1 - k]
-            extra[1 - k] = (np.r_[rows, at[good], at[bad]], np.r_[labels, np.ones(len(good)), np.zeros(len(bad))])
-            free[at[good]] = free[at[bad]] = False
+        for view, label, *features in found:
+            extra[1 - view].append((features[1 - view], label))
         models = fitted(models)
     platt = []
     for model, x in zip(models, (content, metadata), strict=True):
@@ -199,8 +213,62 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in ("text", "source", "lang")))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
-    """Fit on a sample of about `labelled_rows` labelled rows and a pool of about `pool_rows` others, chosen by hash.
+def surest_rows(docs: DataFrame, labelled: set[int]) -> Callable[[list[Logistic], list[tuple[float, float]], tuple[int, int]], list[Handed]]:
+    """`surest` of co_train over all rows of `docs` whose id isn't among `labelled`, rows of equal features once.
+
+    Each task keeps the surest of its rows, and of these the surest of all come to the driver, so that what moves is
+    bounded by the numbers asked for.
+    """
+    taken: set[int] = set()
+
+    def surest(models: list[Logistic], least: list[tuple[float, float]], most: tuple[int, int]) -> list[Handed]:
+        shared = docs.sparkSession.sparkContext.broadcast((models, least, most, labelled, taken))  # bounded by the parameters
+
+        def run(batches):
+            from xxhash import xxh3_64_intdigest
+
+            models, least, most, labelled, taken = shared.value
+            best: dict[tuple[int, int], dict[int, tuple[float, bytes, bytes]]] = {(v, label): {} for v in (0, 1) for label in (0, 1)}
+
+            def keep(view: int, label: int) -> None:
+                rows = best[view, label]
+                best[view, label] = dict(sorted(rows.items(), key=lambda r: (-r[1][0], r[0]))[: most[1 - label]])
+
+            for batch in batches:
+                there = [k for k, i in enumerate(batch.column(0).to_pylist()) if i not in labelled]
+                text, source, lang = (c.take(pa.array(there, pa.int64())).to_pylist() for c in batch.columns[1:])
+                if not there:
+                    continue
+                views = np.stack([content_features(t or "") for t in text]), np.stack([metadata_features(t or "", s, x) for t, s, x in zip(text, source, lang, strict=True)])
+                for view in (0, 1):
+                    z = models[view].logit(views[view].astype(np.float64))
+                    for label, sure in ((1, z), (0, -z)):
+                        for k in np.flatnonzero(sure >= least[view][1 - label]).tolist():
+                            row = views[0][k].astype("<f4").tobytes(), views[1][k].astype("<f4").tobytes()
+                            key = xxh3_64_intdigest(row[0] + row[1]) >> 1
+                            if key not in taken:
+                                best[view, label][key] = (float(sure[k]), *row)
+                        if len(best[view, label]) > 4 * most[1 - label]:
+                            keep(view, label)
+            for view, label in best:
+                keep(view, label)
+            rows = [(view, label, sure, key, a, b) for (view, label), found in best.items() for key, (sure, a, b) in found.items()]
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["view", "label", "sure", "key", "content", "metadata"])
+
+        told = _plain(docs).mapInArrow(run, "view int, label int, sure double, key long, content binary, metadata binary")
+        ranked = told.dropDuplicates(["view", "label", "key"]).withColumn("rank", F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "key")))
+        rows = ranked.where(F.col("rank") <= F.when(F.col("label") == 1, most[0]).otherwise(most[1])).orderBy("view", "label", "rank").collect()  # twice the sum of `most` at most
+        taken.update(r["key"] for r in rows)
+        return [(r["view"], r["label"], *(np.frombuffer(r[c], "<f4").astype(np.float64) for c in ("content", "metadata"))) for r in rows]
+
+    return surest
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> CoTrained | None:
+    """Fit on a sample of about `labelled_rows` labelled rows, chosen by hash, and on what the views hand each other of all
+    other rows.
 
     At most about twice as many labelled rows are taken, where ids are shared; equal rows count once. `docs` has doc_id,
     text, source, lang; `labels` has doc_id, quality (0 or 1; null rows aren't used; of several labels of an id the
@@ -212,32 +280,22 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    n_known = sum(sizes.values())
     # the ids are chosen first: only the chosen rows' texts are moved or read by Python
-    some = known.where(at < ((labelled_rows << 30) // n_known + 1))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    n_some = ids.join(F.broadcast(some), "doc_id").count()
-    n_rest = ids.join(F.broadcast(some), "doc_id", "left_anti").count()
-
-    def sample(rows: DataFrame, most: int, of: int, seed: int) -> DataFrame:
-        """About `most` of `of` rows, by a hash of the whole row, so that an id that many rows share doesn't come whole; equal rows once."""
-        row_at = F.pmod(F.xxhash64("doc_id", "text", "source", "lang", F.lit(seed)), F.lit(1 << 30))
-        return rows.where(row_at < (most << 30) // max(1, of) + 1).distinct()
-
-    rows = sample(_plain(docs).join(F.broadcast(some), "doc_id"), 2 * labelled_rows, n_some, 12)
-    rest = sample(_plain(docs), pool_rows, n_rest, 11).join(F.broadcast(some), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
-    got = _featured(rows.select("y", "text", "source", "lang")).unionAll(_featured(rest)).toPandas()
+    some = known.where(at < ((labelled_rows << 30) // sum(sizes.values()) + 1))
+    n_some = docs.select(F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id").count()
+    # by a hash of the whole row, so that an id that many rows share doesn't come whole; equal rows once
+    row_at = F.pmod(F.xxhash64("doc_id", "text", "source", "lang", F.lit(12)), F.lit(1 << 30))
+    rows = _plain(docs).join(F.broadcast(some), "doc_id").where(row_at < (2 * labelled_rows << 30) // max(1, n_some) + 1).distinct()
+    got = _featured(rows.select("y", "text", "source", "lang")).toPandas()
     if got["y"].nunique() < 2:
         return None
     got = got.sort_values(["y", "content", "metadata"], kind="stable", ignore_index=True)
     content, metadata = (np.frombuffer(b"".join(got[c]), "<f4").reshape(len(got), -1).astype(np.float64) for c in ("content", "metadata"))
     y = got["y"].to_numpy(np.float64)
-    there = ~np.isnan(y)
-    if len(set(y[there].tolist())) < 2:
-        return None
     # equal rows stand together in the sorted sample; deal them in a fixed random order
-    order = np.random.default_rng(10).permutation(np.flatnonzero(there))
-    return co_train(content[order], metadata[order], y[order], (content[~there], metadata[~there]))
+    order = np.random.default_rng(10).permutation(len(y))
+    labelled = {r["doc_id"] for r in some.select("doc_id").collect()}  # about labelled_rows of them
+    return co_train(content[order], metadata[order], y[order], surest_rows(docs, labelled))
 
 
 def score(docs: DataFrame, model: CoTrained | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
