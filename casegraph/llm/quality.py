@@ -174,14 +174,18 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: C
 
     models = fitted((None, None))
     share = y[fit].mean()
+    most = (round(handed * share), round(handed * (1 - share)))
     for _ in range(rounds):
         known = [m.logit(x[check]) for m, x in zip(models, all_views, strict=True)]
         least = [(sure_from(z, y[check] == 1), sure_from(-z, y[check] == 0)) for z in known]
-        found = surest(models, least, (round(handed * share), round(handed * (1 - share)))) if np.isfinite(least).any() else []
+        found = surest(models, least, most) if np.isfinite(least).any() else []
         if not found:
             break
-        for view, label, *features in found:
-            extra[1 - view].append((features[1 - view], label))
+        for view in (0, 1):  # in the classes' proportion, so that no view learns that one of them is more frequent
+            told = [[f[3 - view] for f in found if f[:2] == (view, label)] for label in (1, 0)]
+            part = min(len(t) / max(1, n) for t, n in zip(told, most, strict=True))
+            for label, t, n in zip((1, 0), told, most, strict=True):
+                extra[1 - view] += [(x, label) for x in t[: round(part * n)]]
         models = fitted(models)
     platt = []
     for model, x in zip(models, (content, metadata), strict=True):
