@@ -243,5 +243,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether crc32 of the id as text leaves 1 when divided by 3."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether crc32 of the id as text leaves 1 when divided by 3; a null id does not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
