@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import form_block, is_safe_id, is_safe_name, nfc, slug
-from casegraph.operators import adapter, decision, engine, replies, report, status
+from casegraph.operators import adapter, decision, engine, lineage, replies, report, status
 from casegraph.sources import derived, files, results
 from casegraph.sources.shared import shared_dir
 from casegraph.sources.store import Store
@@ -235,6 +235,39 @@ FILLED_FIELDS = f"""WITH {_CASES}
 SELECT case_id, document_id, CAST(CASE document_type WHEN 'APPLICATION' THEN CASE WHEN v = 3 THEN 19 ELSE 20 END WHEN 'ID_DOCUMENT' THEN 9 WHEN 'BIRTH_CERT' THEN 13 - CASE WHEN v IN (0, 6, 9) AND (k - 2) % 3 = 1 THEN 6 ELSE 0 END ELSE 0 END AS INTEGER) AS filled,
   'a' AS first FROM d"""
 
+def applicant_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who the identity documents of a case are of: the number of persons, and the one's attributes and flags."""
+    got = lineage.resolve_lineage(derived.identity_documents(spark, sf_dir)).selectExpr("case_id", "g1.*")
+    return got.selectExpr("case_id", "persons", "ambiguous", "array_join(array_sort(flags), '|') as flags", "size(documents) as documents", "person.name as name", "person.born as born", "person.number as number", "person.nation as nation")
+
+
+# Pairs and what is reached by them, from the records themselves.
+APPLICANT_ROLES = """WITH RECURSIVE o AS (
+  SELECT o_custkey AS c, o_orderkey AS k, (o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) % 4 + 1 AS g, o_orderkey // 4 % 3 + 1 AS f,
+    CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS born, CAST(floor(o_totalprice) AS BIGINT) AS t FROM orders),
+s AS (SELECT *, ['Ana', 'José', 'Lucía', 'Iñés'][g] AS given, ['García', 'Núñez', 'Pérez'][f] AS father, ['ana', 'jose', 'lucia', 'ines'][g] AS fg, ['garcia', 'nunez', 'perez'][f] AS ff FROM o),
+n AS (
+  SELECT c, k, born, CASE k % 5 WHEN 0 THEN given WHEN 1 THEN father WHEN 4 THEN '' ELSE given || ' ' || father END AS name,
+    CASE k % 5 WHEN 0 THEN [fg] WHEN 1 THEN [ff] WHEN 4 THEN CAST([] AS VARCHAR[]) ELSE [fg, ff] END AS words, CASE WHEN t % 3 = 0 THEN '' ELSE 'n-' || (t % 7 % 2) END AS number, ['ESP', 'Española', '', ''][k % 4 + 1] AS nation FROM s),
+r AS MATERIALIZED (SELECT * FROM n WHERE name <> '' OR born IS NOT NULL OR number <> '' OR nation <> ''),
+p AS (
+  SELECT a.c, a.k AS x, b.k AS y, a.name <> '' AND b.name <> '' AS named, len(a.words) > 0 AND len(b.words) > 0 AND (list_has_all(a.words, b.words) OR list_has_all(b.words, a.words)) AS fuzzy,
+    coalesce(year(greatest(a.born, b.born)) - year(least(a.born, b.born)) - CASE WHEN strftime(greatest(a.born, b.born), '%m%d') < strftime(least(a.born, b.born), '%m%d') THEN 1 ELSE 0 END <= 1 AND a.born IS NOT NULL AND b.born IS NOT NULL, false) AS near,
+    a.number <> '' AND a.number = b.number AS same, a.born IS NULL OR b.born IS NULL AS undated FROM r a JOIN r b ON a.c = b.c AND a.k <> b.k),
+e AS MATERIALIZED (SELECT *, CAST(fuzzy AS INTEGER) + CAST(near AS INTEGER) + CAST(same AS INTEGER) >= 2 AS strict FROM p),
+u(c, x, y) AS (SELECT c, k, k FROM r UNION SELECT u.c, u.x, e.y FROM u JOIN e ON e.c = u.c AND e.x = u.y AND (e.strict OR (e.fuzzy AND e.undated))),
+v(c, x, y) AS (SELECT c, k, k FROM r UNION SELECT v.c, v.x, e.y FROM v JOIN e ON e.c = v.c AND e.x = v.y AND e.strict),
+q AS (SELECT c, CAST(count(DISTINCT m) AS INTEGER) AS persons FROM (SELECT c, x, min(y) AS m FROM u GROUP BY c, x) GROUP BY c),
+w AS (SELECT c, count(DISTINCT m) AS persons FROM (SELECT c, x, min(y) AS m FROM v GROUP BY c, x) GROUP BY c),
+d AS (SELECT c, bool_or(named AND NOT fuzzy) AS unlike FROM e GROUP BY c),
+a AS (
+  SELECT c, CAST(count(*) AS INTEGER) AS n, arg_min(name, k) FILTER (name <> '') AS name, arg_min(born, k) FILTER (born IS NOT NULL) AS born, arg_min(number, k) FILTER (number <> '') AS number, arg_min(nation, k) FILTER (nation <> '') AS nation,
+    count(DISTINCT born) > 1 AS births, count(DISTINCT number) FILTER (number <> '') > 1 AS numbers FROM r GROUP BY c)
+SELECT CAST(z.c AS VARCHAR) AS case_id, coalesce(persons, 0) AS persons, coalesce(persons, 0) > 1 AS ambiguous,
+  CASE WHEN persons > 1 THEN 'NOMBRE_AMBIGUO' WHEN persons = 1 THEN concat_ws('|', CASE WHEN births THEN 'FECHA_CONFLICTO' END, CASE WHEN weak > 1 THEN 'GENERACION_INFERIDA_BAJA_CONFIANZA' END, CASE WHEN numbers THEN 'ID_INCONSISTENTE' END, CASE WHEN unlike THEN 'NOMBRE_INCONSISTENTE' END) ELSE '' END AS flags,
+  CASE WHEN persons = 1 THEN n ELSE 0 END AS documents, CASE WHEN persons = 1 THEN name END AS name, CASE WHEN persons = 1 THEN born END AS born, CASE WHEN persons = 1 THEN number END AS number, CASE WHEN persons = 1 THEN nation END AS nation
+FROM (SELECT DISTINCT c FROM n) z LEFT JOIN (SELECT q.*, w.persons AS weak FROM q JOIN w USING (c)) USING (c) LEFT JOIN d USING (c) LEFT JOIN a USING (c)"""
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "extraction_latest": (extraction_latest, EXTRACTION_LATEST),
     "case_verdict_full": (case_verdict_full, CASE_VERDICT_FULL),
@@ -249,4 +282,5 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "case_details": (case_details, CASE_DETAILS),
     "run_summary": (run_summary, RUN_SUMMARY),
     "filled_fields": (filled_fields, FILLED_FIELDS),
+    "applicant_roles": (applicant_roles, APPLICANT_ROLES),
 }

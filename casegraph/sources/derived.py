@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import sql
 from casegraph.functions.dates import utc_stamp
-from casegraph.schemas import CERTIFICADO, IDENTIDAD, SOLICITUD
+from casegraph.schemas import CERTIFICADO, IDENTIDAD, SOLICITUD, struct_ddl
 
 CASE_SIZE = 10
 GIVEN = ("Ana", "José", "Lucía", "Iñés")
@@ -105,6 +105,20 @@ def case_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def identity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical identity documents: a customer's orders are the documents of a case, whose names, births and numbers agree
+    more or less, and are absent here and there."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    given, father = (f"get({sql.texts(v)}, int(({k}) % {len(v)}))" for v, k in ((GIVEN, "o_custkey + int(o_orderkey % 11 = 0)"), (FATHER, "o_orderkey div 4")))
+    name = sql.case(("o_orderkey % 5 = 0", given), ("o_orderkey % 5 = 1", father), ("o_orderkey % 5 = 4", "''"), other=f"concat_ws(' ', {given}, {father})")
+    values = dict.fromkeys(IDENTIDAD, "null") | {
+        "nombres": name, "numero_id": "if(floor(o_totalprice) % 3 = 0, '', concat('n-', floor(o_totalprice) % 7 % 2))", "nacionalidad": "get(array('ESP', 'Española', '', ''), int(o_orderkey % 4))",
+        "fecha_nacimiento": "if(o_orderkey % 3 = 0, null, date_format(o_orderdate, 'dd/MM/yyyy'))",
+    }
+    none = (f"cast(null as {struct_ddl(x)}) as {n}" for n, x in (("solicitud", SOLICITUD), ("certificado", CERTIFICADO)))
+    return o.selectExpr("string(o_custkey) as case_id", "lpad(string(o_orderkey), 12, '0') as document_id", "cast(null as string) as generation", f"cast({sql.struct(values)} as {struct_ddl(IDENTIDAD)}) as identidad", *none)
+
+
 def case_status_rows(extractions: DataFrame) -> DataFrame:
     """Status rows of case files that are all done."""
     return extractions.select("case_id", "document_id", F.lit("OCR_DONE").alias("stage"), F.lit(1).alias("attempt_count"), F.col("extracted_at").alias("last_updated"), F.lit(None).cast("string").alias("error_detail"))
