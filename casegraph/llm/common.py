@@ -45,11 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Whether shuffle files go at the end of the SQL execution that wrote them; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors. The shuffles of the
+    write are deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path), path
 
 
