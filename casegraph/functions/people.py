@@ -22,6 +22,10 @@ from pyspark.sql.types import ArrayType, BooleanType, DateType, IntegerType, Str
 STRICT, LOOSE, NAMED = "strict", "loose", "named"
 
 
+#: Different records of a pool up to which its pairs are tried.
+FEW = 4
+
+
 class Groups:
     """Records put together; `of` is the record that stands for a group."""
 
@@ -144,12 +148,33 @@ class Pool:
         enough = bool(name) + bool(birth) + bool(number) >= least
         return bool(name) if gate == NAMED else enough or gate == LOOSE and bool(name) and not birth
 
+    def _held(self, x: int, y: int, gate: str, least: int) -> bool:
+        """Whether two records are held together."""
+        a, b = self.words[x], self.words[y]
+        named = bool(a and b) and (a <= b or b <= a)
+        if gate == NAMED:
+            return named
+        (_, born, number), (_, other, its) = self.records[x], self.records[y]
+        near = bool(born and other) and whole_years(min(born, other), max(born, other)) <= self.tolerance
+        enough = 1 <= least <= 3 and named + near + bool(number and number == its) >= least
+        return enough or gate == LOOSE and named and not (born and other)
+
     def persons(self, gate: str, least: int) -> int:
         """Number of components."""
-        groups = Groups(len(self.records))
+        n = len(self.records)
+        groups = Groups(n)
+        if n <= FEW:
+            for x in range(n):
+                for y in range(x):
+                    if self._held(x, y, gate, least):
+                        groups.join((x, y))
+            return self._components(groups, gate, least)
         lists = [self.by_name(range(len(self.records)))] if gate == NAMED else [self.agreeing(least)]
         for records in (x for some in (*lists, *([self.undated()] if gate == LOOSE else [])) for x in some):
             groups.join(records)
+        return self._components(groups, gate, least)
+
+    def _components(self, groups: Groups, gate: str, least: int) -> int:
         members = Counter(groups.of(k) for k in range(len(self.records)))
         alone = (k for k, n in self.counts.items() if n > 1)
         place = {r: k for k, r in enumerate(self.records)}

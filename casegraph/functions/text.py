@@ -73,8 +73,10 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def clean_text(text: Column) -> Column:
-    """The one hygiene pass before text is matched: artifacts stripped, then NFKC."""
-    return nfkc(strip_artifacts(text))
+    """The one hygiene pass before text is matched: artifacts stripped, then NFKC; only text that isn't ASCII goes to Python."""
+    text = strip_artifacts(text)
+    odd = text.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, nfkc(F.when(odd, text))).otherwise(text)
 
 
 def fold(name: str | None) -> str:

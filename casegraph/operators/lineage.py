@@ -19,7 +19,7 @@ from casegraph.functions.dates import within_years
 from casegraph.functions.pins import pin
 from casegraph.functions.text import same_folded
 from casegraph.operators.records import RECORD, person_records
-from casegraph.sources.shared import stash
+from casegraph.sources.shared import small_batches, stash
 
 #: At most one more generation becomes known in each pass.
 PASSES = 3
@@ -114,17 +114,22 @@ def _collapsed(roles: str) -> str:
 # --- passes -----------------------------------------------------------------------------------------------------------
 
 
-def collect_cases(records: DataFrame) -> DataFrame:
-    """case_id with `people` (the applicant of the first application and the holders) and `certs`, in the documents' order."""
+def collect_cases(records: DataFrame, *beside: str) -> DataFrame:
+    """case_id with `people` (the applicant of the first application and the holders) and `certs`, in the documents' order;
+    with `beside` also `docs`, structs of these columns of all rows."""
     row = F.struct("kind", "document_id", F.col("generation").alias("gen"), "own", "p1", "p2")
-    cases = records.groupBy("case_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    docs = [F.sort_array(F.collect_list(F.struct(*beside))).alias("docs")] if beside else []
+    # dealt by case first: rows of a case stand in many tasks, so lists begun in these would only be sorted and sent as lists
+    cases = records.repartition("case_id").groupBy("case_id").agg(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), row))).alias("rows"), *docs)
     people = "transform(filter(rows, (x, i) -> x.kind = 1 or (x.kind = 0 and i = 0)), x -> x.own)"
     certs = "transform(filter(rows, x -> x.kind = 2), x -> named_struct('doc', x.document_id, 'gen', x.gen, 'tagged', x.gen is not null, 'own', x.own, 'p1', x.p1, 'p2', x.p2))"
     return pin(cases, people=F.expr(people), certs=F.expr(f"cast({certs} as array<{_CERTIFICATE}>)")).drop("rows")
 
 
 def _one_pass(cases: DataFrame, rules: Rules) -> DataFrame:
-    """case_id, people, certs (with what was inferred), g1, g2, g3, crossed, changed of (case_id, people, certs)."""
+    """case_id, people, certs (with what was inferred), g1, g2, g3, crossed, changed of (case_id, people, certs), and what
+    else `cases` has."""
+    kept = cases.columns
     role = people.roles(rules.entity_resolution.min_criteria, rules.entity_resolution.dob_tolerance_years)
     put = lambda df, **columns: pin(df, **{n: F.expr(text) for n, text in columns.items()})
     yes, no = F.lit(True), F.lit(False)
@@ -152,7 +157,7 @@ def _one_pass(cases: DataFrame, rules: Rules) -> DataFrame:
     named = "filter(concat(pool1, pool2a, pool2b, pool2c, pool3), r -> r.fnum <> '')"
     fields = ", ".join(f"'{f}', {f'gens[i]' if f == 'gen' else f'c.{f}'}" for f in ("doc", "gen", "tagged", "own", "p1", "p2"))
     cases = put(cases, crossed=_unlike(named, "r.fnum"), changed="exists(arrays_zip(certs, gens), x -> not (x.certs.gen <=> x.gens))")
-    return put(cases, certs=f"cast(transform(certs, (c, i) -> named_struct({fields})) as array<{_CERTIFICATE}>)").select("case_id", "people", "certs", "g1", "g2", "g3", "crossed", "changed")
+    return put(cases, certs=f"cast(transform(certs, (c, i) -> named_struct({fields})) as array<{_CERTIFICATE}>)").select(*kept, "g1", "g2", "g3", "crossed", "changed")
 
 
 def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -161,17 +166,23 @@ def resolve_lineage(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     `inferred` maps untagged certificates to generations; `flags` are the sorted flags of the case. Cases of which no
     document names anybody have no row here; verdicts() fills them with unresolved roles. Runs a job for each pass.
     """
+    return resolve_cases(collect_cases(person_records(docs)), rules)
+
+
+def resolve_cases(cases: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """resolve_lineage of what collect_cases gives, with its `docs` if it has them."""
     rules = rules or Rules()
-    now = collect_cases(person_records(docs))
+    now, kept = cases, cases.columns
     ended: list[DataFrame] = []
     for k in range(PASSES):
-        done = stash(_one_pass(now, rules), "lineage")
+        with small_batches(cases.sparkSession):
+            done = stash(_one_pass(now, rules), "lineage")
         last = k == PASSES - 1 or done.where("changed").isEmpty()
         ended.append(done if last else done.where("not changed"))
         if last:
             break
-        now = done.where("changed").select("case_id", "people", "certs")
+        now = done.where("changed").select(*kept)
     cases = reduce(DataFrame.unionByName, ended)
     inferred = "map_from_entries(transform(filter(certs, c -> not c.tagged and c.gen is not null), c -> struct(c.doc, c.gen)))"
     crossed = "if(crossed, array('DOCUMENTO_CRUZADO'), array())"
-    return cases.selectExpr("case_id", "g1", "g2", "g3", "crossed", f"{inferred} as inferred", f"array_sort(array_distinct(concat(g1.flags, g2.flags, g3.flags, {crossed}))) as flags")
+    return cases.selectExpr("case_id", "g1", "g2", "g3", "crossed", f"{inferred} as inferred", f"array_sort(array_distinct(concat(g1.flags, g2.flags, g3.flags, {crossed}))) as flags", *(c for c in kept if c == "docs"))

@@ -19,6 +19,9 @@ def _full(text: str) -> str:
     return f"coalesce({text} <> '', false)"
 
 
+_ANY = "solicitud is not null or identidad is not null or certificado is not null"
+
+
 def person_records(docs: DataFrame) -> DataFrame:
     """case_id, document_id, generation, kind (0 application, 1 identity document, 2 birth certificate), own, p1, p2.
 
@@ -26,6 +29,12 @@ def person_records(docs: DataFrame) -> DataFrame:
     parents, null where a certificate names none. Names are folded once here; later steps compare plain columns. Other
     documents have no row. No shuffle.
     """
+    return person_rows(docs.where(_ANY))
+
+
+def person_rows(docs: DataFrame, *beside: str, **dates: str) -> DataFrame:
+    """person_records with a row for every document, `kind` null for those of other kinds, with the columns `beside` and
+    for each of `dates` the date of the text that the expression gives."""
     rows = docs.withColumn("_applicant", join_present(*(F.col(f"solicitud.{a}") for a in ("nombre_solicitante", "apellido_padre", "apellido_madre"))))
     rows = rows.withColumn("_holder", join_present(F.col("identidad.nombres"), F.col("identidad.apellidos")))
     s, i, c = "solicitud is not null", "identidad is not null", "certificado is not null"
@@ -37,9 +46,10 @@ def person_records(docs: DataFrame) -> DataFrame:
     }
     parent = lambda k: {n: f"certificado.progenitor{k}_{a}" for n, a in (("name", "nombre"), ("number", "num_doc"), ("nation", "nacionalidad"))}
     told = {f"_{who}_{a}": F.expr(x) for who, values in (("own", own), ("p1", parent(1)), ("p2", parent(2))) for a, x in values.items()}
-    rows = rows.where(f"{s} or {i} or {c}").select("case_id", "document_id", "generation", F.expr(of("0", "1", "2")).alias("kind"), *(x.alias(n) for n, x in told.items()))
+    texts = {f"_text_of_{n}": F.expr(x) for n, x in dates.items()}
+    rows = rows.select("case_id", "document_id", "generation", F.expr(of("0", "1", "2")).alias("kind"), *beside, *(x.alias(n) for n, x in (told | texts).items()))
     rows = rows.withColumns({f"_{who}_f": fold_person(f"_{who}_name", f"_{who}_number", f"_{who}_nation") for who in ("own", "p1", "p2")})
-    rows = with_dates(rows, _own_born="_own_birth")
+    rows = with_dates(rows, _own_born="_own_birth", **{n: f"_text_of_{n}" for n in dates})
 
     def record(who: str) -> str:
         more = {a: f"_{who}_{a}" if who == "own" else "null" for a in ("born", "sex", "place")}
@@ -53,4 +63,4 @@ def person_records(docs: DataFrame) -> DataFrame:
 
     known = lambda who: " or ".join(_full(f"_{who}_{a}") for a in ("name", "number", "nation"))
     parents = (F.expr(f"case when {known(p)} then {record(p)} end").alias(p) for p in ("p1", "p2"))
-    return rows.select("case_id", "document_id", "generation", "kind", F.expr(record("own")).alias("own"), *parents)
+    return rows.select("case_id", "document_id", "generation", "kind", F.expr(record("own")).alias("own"), *parents, *beside, *dates)

@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.fs
@@ -66,6 +68,23 @@ def replace_file(path: str, text: str) -> None:
         raise
 
 
+#: Rows of an Arrow batch where a row is all that is known of a case.
+CASE_ROWS = 512
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = CASE_ROWS) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is run meanwhile, so that a Python worker's memory doesn't grow with
+    the rows of its task; never more than the session has."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stash_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write `df` to the shared folder and read it again, and where it is; whoever asks for it may delete it (drop_table)."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
