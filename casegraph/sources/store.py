@@ -1,11 +1,11 @@
 """The engine's tables: status, extractions and evaluations as logs of batches, the latest row of a key counting.
 
 Parquet has no update in place, so each write is a batch in a folder of its own, with a number above all before it, and a
-read takes of each key the row of the highest number: one aggregation by key, partial first, into which a filter on a key
-is pushed down to the scan. A batch counts from when its marker, a small file named by its number, is published; of several
-writers of one number one succeeds and the others get Conflict. What the log holds is told by its markers, so the last
-number costs a listing, and a reader that begins before a batch is published never sees a part of it. `compact` publishes
-all latest rows as a batch that replaces those before it.
+read takes of each key the row of the highest number: one aggregation by key, of the log dealt by key into parts of bounded
+size, or, with a filter on a key, which is pushed down to the scan, partial first. A batch counts from when its marker, a
+small file named by its number, is published; of several writers of one number one succeeds and the others get Conflict.
+What the log holds is told by its markers, so the last number costs a listing, and a reader that begins before a batch is
+published never sees a part of it. `compact` publishes all latest rows as a batch that replaces those before it.
 
 Publishing needs a store in which making a name fails if it is there: a link in local and mounted folders, a rename in
 HDFS. Object stores whose rename overwrites aren't fit for several writers.
@@ -67,6 +67,9 @@ def _linked(spark: SparkSession, source, target) -> bool:
     return True
 
 
+#: Bytes of files of a part of a log (payloads take some 15 times the room in memory), and of the smallest part worth a task.
+PART_BYTES, SMALL_BYTES = 32 << 20, 1 << 20
+
 _PROBLEMS = {"missing": DocumentMissing, "invalid": InvalidTransition, "conflict": Conflict}
 
 
@@ -117,11 +120,20 @@ class Store:
 
     def latest(self, table: str, when: Column | None = None, to: int | None = None) -> DataFrame:
         """The latest row of each key, as of batch `to` where it is given; `when` is a condition on key columns."""
-        log = self.log(table, to) if when is None else self.log(table, to).where(when)
         keys = KEYS[table]
+        log = self.log(table, to).repartition(self._parts(table, to), *keys) if when is None else self.log(table, to).where(when)
         rest = [c for c in log.columns if c not in (*keys, "batch")]
         return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
+    def _parts(self, table: str, to: int | None = None) -> int:
+        """Into how many parts the log is dealt by key: PART_BYTES of its files in one at most, so that what a task sorts
+        doesn't grow with the log; of a smaller log as many as there are cores, of SMALL_BYTES at least."""
+        size = 0
+        for _, folder in self._batches(table, to):
+            files, where = self._file(f"{table}/{folder}")
+            size += files.getContentSummary(where).getLength()
+        return max(1, -(-size // PART_BYTES), min(self.spark.sparkContext.defaultParallelism, -(-size // SMALL_BYTES)))
+
     def last_batch(self, table: str) -> int:
         return max((number for number, _ in self._batches(table)), default=0)
 

@@ -188,3 +188,16 @@ def test_unsafe_ids_and_blank_errors(spark, tmp_path):
         results.failures(row(case_id="k", document_id="d", error_detail=" \n")).collect()
     with pytest.raises(Exception, match="unsafe ids"):
         results.write_results(results.failures(row(case_id="..", document_id="d", error_detail="x")), str(tmp_path)).collect()
+
+
+def test_parts_of_a_log_grow_with_it(spark, tmp_path, monkeypatch):
+    """What a task sorts of a log is bounded: the log is dealt into more parts as its files grow; a row of each key is read."""
+    monkeypatch.setattr(store, "PART_BYTES", 20_000)
+    tables = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(4000).select(F.lit("k").alias("case_id"), F.col("id").cast("string").alias("document_id"), F.lit("RECEIVED").alias("stage"), F.lit(1).alias("attempt_count"), F.sha2(F.col("id").cast("string"), 512).alias("last_updated"), F.lit(None).cast("string").alias("error_detail"))
+    tables.append("status", rows.limit(10))
+    assert tables.latest("status").rdd.getNumPartitions() == 1
+    tables.append("status", rows.withColumn("attempt_count", F.lit(2)))
+    got = tables.latest("status")
+    assert got.rdd.getNumPartitions() >= 10
+    assert got.count() == 4000 and got.where("attempt_count <> 2").isEmpty()
